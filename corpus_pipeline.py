@@ -1,30 +1,52 @@
 """The corpus pipeline: quality rules, near-duplicates, benchmark decontamination, mixing, token-ID output.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; its result is written as Parquet and
-reread as the next stage's docs. All but the last return the columns of documents.
+reread as the next stage's docs. All but the last return the columns of documents; the last returns what it reads back
+from its token files.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import near_dup, quality
+from loomwork.llm import decontaminate, mixing, near_dup, quality, token_files
 from loomwork.llm.common import Scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules or the perplexity bands reject go."""
     return quality.filter_quality(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays."""
     return near_dup.one_of_each(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source is taken in part, or up to three times, as its target asks; a document stands once for each pass."""
+    return mixing.mixed_documents(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix is written as token files and read back."""
+    return token_files.token_output(docs)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mix", mix),
+    ("token_output", token_output),
 ]
 
+#: The first stage scores with a language model, which SQL can't express; tests/llm holds the stages against plain versions.
 ORACLE_SQL = None
 
 

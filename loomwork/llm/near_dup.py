@@ -170,15 +170,8 @@ def _block_edges(blocks: DataFrame, percent: int, bits: int, samples: int, margi
     return blocks.groupBy("block").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS, margin: float = SKETCH_MARGIN, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """Per row: doc_id, n_shingles (size of the set of 5-word shingles), component_id (smallest doc_id that links reach), kept.
-
-    Two texts are linked if 100 * intersection >= percent * union of their shingle sets. Null or wordless texts have
-    n_shingles 0, link with nothing and keep their own id. Rows that repeat an id are rows of their own: equal or linked
-    texts share a component, and every row that bears the component's id is kept. A null id is never smallest; it is the
-    component's only if no member has an id, and then such rows are kept. Other columns are ignored; an empty table gives
-    an empty result.
-    """
+def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS, margin: float = SKETCH_MARGIN, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> tuple[DataFrame, DataFrame]:
+    """(signatures of the rows, (fp, label, component_id) of each class)."""
     spark, samples = docs.sparkSession, bands * rows
     scratch = Scratch(spark, "near-dup")
     marks = scratch.keep(signatures(docs, id_col, text_col, bands, rows, bits), "signatures")
@@ -227,8 +220,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classed = classes.select("cid", "fp", "rep").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     classed = scratch.keep(classed, "classed")
     smallest = classed.groupBy("label").agg(F.min("rep").alias("component_id"))
-    ends = scratch.keep(classed.join(smallest, "label").select("fp", "component_id"), "ends")
+    ends = scratch.keep(classed.join(smallest, "label").select("fp", "label", "component_id"), "ends")
     scratch.drop(ready, wanted, large)
+    return marks, ends
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Per row: doc_id, n_shingles (size of the set of 5-word shingles), component_id (smallest doc_id that links reach), kept.
+
+    Two texts are linked if 100 * intersection >= percent * union of their shingle sets. Null or wordless texts have
+    n_shingles 0, link with nothing and keep their own id. Rows that repeat an id are rows of their own: equal or linked
+    texts share a component, and every row that bears the component's id is kept. A null id is never smallest; it is the
+    component's only if no member has an id, and then such rows are kept. Other columns are ignored; an empty table gives
+    an empty result.
+    """
+    marks, ends = _grouped(docs, id_col, text_col, **options)
     out = marks.select("doc_id", "n_shingles", "fp").join(ends, "fp", "left")
     out = out.withColumn("component_id", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -248,11 +254,26 @@ def _matching(hit: DataFrame) -> DataFrame:
     return hit.mapInArrow(run, "cid long, text binary")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, with their columns: one for each group. Of rows with one id, and of rows without, one text each stays."""
-    chosen = near_duplicates(docs, id_col, **options).where("kept").select(F.col("doc_id").alias("_chosen")).distinct()
-    rows = docs.join(chosen, docs[id_col].eqNullSafe(chosen["_chosen"]), "left_semi")
-    return rows.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(rows.where(F.col(id_col).isNull()).dropDuplicates())
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that stand for their group, with their columns: one row that bears the component's id for each group of linked texts.
+
+    Rows without a word are in no group and stay. Rows are matched by their text, so repeated ids do no harm.
+    """
+    _, ends = _grouped(docs, id_col, text_col, **options)
+
+    def run(batches):
+        import pyarrow as pa
+
+        hashes = word_hashes()
+        for batch in batches:
+            sets = [shingle_set(t, hashes) for t in binary_texts(batch, text_col)]
+            fps = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.binary())], names=[*batch.schema.names, "_fp"])
+
+    rows = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_fp", T.BinaryType())]))
+    heads = ends.select(F.col("fp").alias("_fp"), F.col("label").alias("_label"), F.col("component_id").alias("_component"))
+    grouped = rows.where("_fp is not null").join(heads, "_fp").where(F.col(id_col).eqNullSafe(F.col("_component"))).dropDuplicates(["_label"])
+    return grouped.select(*docs.columns).unionByName(rows.where("_fp is null").select(*docs.columns))
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
