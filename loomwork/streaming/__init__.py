@@ -1 +1 @@
-"""See the modules."""
+"""Structured Streaming: event-time windows and stateful limiters."""
