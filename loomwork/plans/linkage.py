@@ -118,8 +118,9 @@ def nearest_capital(spark, sf):
 _SQ = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE))))"
 
 
-@query("embedding_nn", f"SELECT vec_id, arg_min(point, (d, point)) AS point, round(min(d), 9) AS squared_distance FROM (SELECT a.vec_id, b.vec_id AS point, {_SQ} AS d FROM embeddings a, embeddings b WHERE b.vec_id % 10 = 3 AND a.vec_id % 10 <> 3) GROUP BY 1")
+@query("embedding_nn", f"WITH b AS (SELECT label AS point, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY 1) SELECT vec_id, arg_min(point, (d, point)) AS point, round(min(d), 9) AS squared_distance FROM (SELECT a.vec_id, b.point, {_SQ} AS d FROM embeddings a, b) GROUP BY 1")
 def embedding_nn(spark, sf):
+    """For every embedding, the label whose first embedding is nearest."""
     e = load(spark, sf, "embeddings")
-    points = e.where("vec_id % 10 = 3").select(F.col("vec_id").alias("point"), "embedding")
-    return N.nearest_in_space(e.where("vec_id % 10 <> 3"), points, "vec_id", "point", "embedding").select("vec_id", "point", F.round("squared_distance", 9).alias("squared_distance"))
+    points = e.groupBy(F.col("label").alias("point")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    return N.nearest_in_space(e, points, "vec_id", "point", "embedding").select("vec_id", F.col("point").cast("int").alias("point"), F.round("squared_distance", 9).alias("squared_distance"))

@@ -40,6 +40,7 @@ def messy(spark, sf):
 
 
 def references(spark, sf):
+    """Customers as a reference that lacks some, so that the rule has something to find."""
     return {"customers": load(spark, sf, "customer").where("c_custkey % 50 <> 0").select(F.col("c_custkey").cast("string").alias("id"))}
 
 

@@ -159,12 +159,12 @@ def left_join_zero_clicks(spark, sf):
 @query(
     "fan_out_distinct",
     """SELECT p_partkey, count(DISTINCT l_orderkey) AS orders, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_orderkey) + count(DISTINCT l_suppkey) AS engagement,
-    rank() OVER (ORDER BY count(DISTINCT l_orderkey) + count(DISTINCT l_suppkey) DESC) AS rnk FROM part LEFT JOIN lineitem ON l_partkey = p_partkey WHERE p_size <= 5 GROUP BY p_partkey""",
+    rank() OVER (ORDER BY count(DISTINCT l_orderkey) + count(DISTINCT l_suppkey) DESC) AS rnk FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey""",
 )
 def fan_out_distinct(spark, sf):
     from pyspark.sql.window import Window
 
-    p = load(spark, sf, "part").where("p_size <= 5").select("p_partkey")
+    p = load(spark, sf, "part").select("p_partkey")
     t = load(spark, sf, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"), "right").groupBy("p_partkey").agg(F.count_distinct("l_orderkey").alias("orders"), F.count_distinct("l_suppkey").alias("suppliers"))
     t = t.withColumn("engagement", F.col("orders") + F.col("suppliers"))
     return t.withColumn("rnk", F.rank().over(Window.orderBy(F.desc("engagement"))).cast("long"))
