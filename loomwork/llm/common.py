@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -33,6 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets Spark hand Python workers at most 1,000 rows and 16 MB at once, so that tasks with long texts keep their memory. It holds for the session from now on, unless its batches are smaller already."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        now = int(re.sub(r"[^0-9-]", "", spark.conf.get(key)) or 0)
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 class Scratch:
     """Tables of one operator run, written to the shared folder so that lineage ends there and a lost executor costs no recomputation.
 
@@ -40,6 +49,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        small_batches(spark)
         self.spark, self.root, self.made = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
         atexit.register(self.drop)
 
@@ -65,6 +75,28 @@ class Scratch:
                 raise
 
 
+def frees(run):
+    """run, a function over an iterator of Arrow batches, so wrapped that the worker gives its memory back when a task ends: workers are used again, for other stages too."""
+
+    def wrapped(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 class Memo(dict):
     """A dict that computes what it lacks and forgets everything beyond `limit` entries, so its memory is bounded."""
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SQL_ASCII_WORDS, WORDS, Scratch, table
+from .common import SQL_ASCII_WORDS, WORDS, Scratch, frees, table
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -118,15 +118,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     scratch, passes = Scratch(spark, "decontaminate"), None
     own = [c for c in docs.columns if c not in dict(RESULT)]
     rows = docs.select(*own)
+    waiting = None
     for items in _blocks(benchmark, item_id, item_text, block_words):
-        if passes is not None:
-            passes = scratch.keep(passes, "pass")
-        passes = _pass(rows if passes is None else passes, spark.sparkContext.broadcast(build(items, window)), text_col)
-    return _finish(passes, own, text_col)
+        if waiting is not None:
+            passes = scratch.keep(_pass(rows if passes is None else passes, waiting, own, text_col, False), "pass")
+        waiting = spark.sparkContext.broadcast(build(items, window))
+    return _pass(rows if passes is None else passes, waiting, own, text_col, True)
 
 
-def _pass(rows: DataFrame, model, text_col: str) -> DataFrame:
-    schema = T.StructType([f for f in rows.schema.fields if f.name not in ("_hit", "_items")] + _STATE)
+def _pass(rows: DataFrame, model, own: list[str], text_col: str, last: bool) -> DataFrame:
+    """rows with the hits of one block of the benchmark added to those so far; the last pass turns them into the result."""
+    fields = [f for f in rows.schema.fields if f.name in own]
+    schema = T.StructType(fields + ([T.StructField(n, k) for n, k in RESULT] if last else _STATE))
 
     def run(batches):
         import pyarrow as pa
@@ -135,36 +138,25 @@ def _pass(rows: DataFrame, model, text_col: str) -> DataFrame:
         matchers = [WuManber(p, size) for size, p in patterns]
         for batch in batches:
             before = (batch.column("_hit").to_pylist(), batch.column("_items").to_pylist()) if "_hit" in batch.schema.names else None
-            hits, items = [], []
+            hits, items, sizes = [], [], []
             for k, text in enumerate(batch.column(text_col).cast(pa.binary()).to_pylist()):
                 hit, found = (set(before[0][k]), set(before[1][k])) if before else (set(), set())
-                search((text or b"").translate(WORDS).split(), vocabulary, matchers, owners, hit, found)
-                hits.append(sorted(hit)), items.append(sorted(found))
-            old = [c for c in batch.schema.names if c not in ("_hit", "_items")]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in old], pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=[*old, "_hit", "_items"])
-
-    return rows.mapInArrow(run, schema)
-
-
-def _finish(rows: DataFrame, own: list[str], text_col: str) -> DataFrame:
-    schema = T.StructType([f for f in rows.schema.fields if f.name in own] + [T.StructField(n, k) for n, k in RESULT])
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            texts = batch.column(text_col).cast(pa.binary()).to_pylist()
-            hits, items = [len(x) for x in batch.column("_hit").to_pylist()], batch.column("_items").to_pylist()
-            added = [
-                pa.array([len((t or b"").translate(WORDS).split()) for t in texts], pa.int64()),
-                pa.array(hits, pa.int64()),
-                pa.array([len(x) for x in items], pa.int64()),
-                pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items], pa.string()),
-                pa.array([n > 0 for n in hits], pa.bool_()),
-            ]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], *added], names=[*own, *[n for n, _ in RESULT]])
-
-    return rows.mapInArrow(run, schema)
+                words = (text or b"").translate(WORDS).split()
+                search(words, vocabulary, matchers, owners, hit, found)
+                hits.append(hit), items.append(sorted(found)), sizes.append(len(words))
+            if last:
+                added = [
+                    pa.array(sizes, pa.int64()),
+                    pa.array([len(h) for h in hits], pa.int64()),
+                    pa.array([len(x) for x in items], pa.int64()),
+                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
+                    pa.array([bool(h) for h in hits], pa.bool_()),
+                ]
+            else:
+                added = [pa.array([sorted(h) for h in hits], pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], *added], names=schema.names)
+
+    return rows.mapInArrow(frees(run), schema)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import frees, small_batches, table
 from .url_rules import host_of
 
 #: Elements that end a block of text where they start and where they end.
@@ -207,7 +207,7 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
             yield pa.RecordBatch.from_pylist([{"host": h, "path": p, "points": s} for (h, p), s in sums.items()])
 
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    votes = rows.mapInArrow(run, "host string, path string, points long").groupBy("host", "path").agg(F.sum("points").alias("points"))
+    votes = rows.mapInArrow(frees(run), "host string, path string, points long").groupBy("host", "path").agg(F.sum("points").alias("points"))
     return votes.groupBy("host").agg(F.max_by("path", F.struct("points", F.length("path"), "path")).alias("path"))
 
 
@@ -217,6 +217,7 @@ def article_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     A null page is empty; a null url, or one without "://", belongs to the host "". Rows are read one by one, so repeated
     ids and rows are as good as others; an empty table gives an empty result. Other columns are ignored.
     """
+    small_batches(pages.sparkSession)
     paths = host_paths(pages, url_col, html_col).withColumnRenamed("host", "_host").withColumnRenamed("path", "_path")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("_host"))
     rows = rows.join(paths, "_host", "left").select("page_id", "url", "html", "_path")
@@ -229,7 +230,7 @@ def article_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             texts = [extract(h, p) for h, p in zip(batch.column("html").to_pylist(), batch.column("_path").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frees(run), schema)
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

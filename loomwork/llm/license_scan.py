@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORDS, binary_texts, table
+from .common import WORDS, binary_texts, frees, small_batches, table
 
 #: Base phrases and their labels: fixed values.
 PHRASES = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
@@ -107,6 +107,7 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ph
     characters that is unedited, else 0. spans has the notices found: word, start and end (characters of the words joined
     by spaces), label and edits. Null and wordless texts have no words. Rows are judged one by one.
     """
+    small_batches(docs.sparkSession)
     schema = T.StructType(
         [
             T.StructField("doc_id", docs.schema[id_col].dataType),
@@ -141,7 +142,7 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ph
                 names=schema.names,
             )
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frees(run), schema)
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

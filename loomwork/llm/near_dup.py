@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, SQL_SPACED_WORDS, Scratch, binary_texts, mix64, table, word_hashes
+from .common import LOWER, SQL_SPACED_WORDS, Scratch, binary_texts, frees, mix64, table, word_hashes
 from .components import connected_components
 
 SHINGLE = 5
@@ -110,7 +110,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "fp", "bands", "sketch"])
 
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_shingles", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frees(run), schema)
 
 
 def _forest(members, percent: int, bits: int, samples: int, margin: float) -> list[tuple[int, int]]:
@@ -251,7 +251,7 @@ def _matching(hit: DataFrame) -> DataFrame:
             fine = [xxhash.xxh3_128_digest(shingle_set(t, hashes).tobytes()) == f for t, f in zip(binary_texts(batch), batch.column("fp").to_pylist(), strict=True)]
             yield batch.filter(pa.array(fine, pa.bool_())).select(["cid", "text"])
 
-    return hit.mapInArrow(run, "cid long, text binary")
+    return hit.mapInArrow(frees(run), "cid long, text binary")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -270,7 +270,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             fps = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.binary())], names=[*batch.schema.names, "_fp"])
 
-    rows = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_fp", T.BinaryType())]))
+    rows = docs.mapInArrow(frees(run), T.StructType([*docs.schema.fields, T.StructField("_fp", T.BinaryType())]))
     heads = ends.select(F.col("fp").alias("_fp"), F.col("label").alias("_label"), F.col("component_id").alias("_component"))
     grouped = rows.where("_fp is not null").join(heads, "_fp").where(F.col(id_col).eqNullSafe(F.col("_component"))).dropDuplicates(["_label"])
     return grouped.select(*docs.columns).unionByName(rows.where("_fp is null").select(*docs.columns))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import frees, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("", *KINDS)
@@ -278,7 +278,7 @@ def _sampled(docs: DataFrame, train_docs: int, train_tokens: int):
                 if places:
                     yield pa.RecordBatch.from_arrays([pa.array([h] * len(places), pa.int64()), pa.array(range(len(places)), pa.int32()), pa.array(active, pa.list_(pa.int32())), pa.array(labels, pa.int32()), pa.array(following, pa.int32())], names=["h", "k", "active", "label", "following"])
 
-    found = rows.mapInArrow(run, "h long, k int, active array<int>, label int, following int").orderBy("h", "k", "label").limit(train_tokens).collect()
+    found = rows.mapInArrow(frees(run), "h long, k int, active array<int>, label int, following int").orderBy("h", "k", "label").limit(train_tokens).collect()
     pairs = [(r["label"], r["following"]) for r in found if r["following"] >= 0]
     return [r["active"] for r in found], np.array([r["label"] for r in found], np.int64), np.array(pairs, np.int64).reshape(-1, 2)
 
@@ -291,6 +291,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A null text is empty. Rows are searched one by one, so repeated rows get equal results; an empty table gives an empty
     result. Documents without digits and "@" have no node and cost one look.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     weights, potentials = train(*_sampled(rows, train_docs, train_tokens))
     schema = T.StructType([rows.schema.fields[0], *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_added", T.LongType())])
@@ -324,7 +325,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             digests = [hashlib.sha256(said(base).encode()).hexdigest() for base, _ in out]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, pa.array(digests, pa.string()), pa.array([said(base + more) for base, more in out], pa.string()), pa.array([len(more) for _, more in out], pa.int64())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frees(run), schema)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Scratch, mix64, table
+from .common import Scratch, frees, mix64, table
 
 ORDER = 5
 BROADCAST_ENTRIES = 8_000_000  #: 12 bytes each: 96 MB on each executor at most.
@@ -30,7 +30,7 @@ LEAST_SPREAD = 0.05  #: An interquartile range below this counts as this.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
 ASCII_SPACE = " \t\n\v\f\r"
-CHUNK = 1_000_000  #: n-grams that are hashed at once.
+CHUNK = 400_000  #: n-grams that are hashed at once.
 UNSEEN = -20.0  #: Log probability of an n-gram that the model lacks; the model of the same table lacks none.
 
 _START, _END = "\x02", "\x03"
@@ -104,12 +104,12 @@ def ngram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
                     got.setdefault(lang, []).append((unique, np.bincount(codes, minlength=len(unique)), windows[first]))
                     held += len(unique)
                     waiting, size = [], 0
-            if held > 1_500_000:
+            if held > 600_000:
                 yield from emit(got)
                 got, held = {}, 0
         yield from emit(got)
 
-    parts = docs.mapInArrow(run, "lang string, gram string, h long, n long")
+    parts = docs.mapInArrow(frees(run), "lang string, gram string, h long, n long")
     return parts.groupBy("lang", "gram", "h").agg(F.sum("n").alias("n"))
 
 
@@ -186,7 +186,7 @@ def look_up(arrays: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == unique, logp[at], np.float32(UNSEEN)).astype(np.float64)[codes]
 
 
-def _measured(docs: DataFrame, order: int, model) -> DataFrame:
+def _measured(docs: DataFrame, order: int, model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs with the rules' columns, n_grams and nll, the sum of negative log probabilities (null without a model)."""
 
     def run(batches):
@@ -194,7 +194,7 @@ def _measured(docs: DataFrame, order: int, model) -> DataFrame:
 
         arrays = model.value if model is not None else None
         for batch in batches:
-            texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
+            texts, langs = batch.column(text_col).to_pylist(), batch.column(lang_col).to_pylist()
             rules = [_rules(t) for t in texts]
             counts, sums = [0] * len(texts), [0.0] * len(texts)
             waiting, held = [], 0
@@ -224,23 +224,23 @@ def _measured(docs: DataFrame, order: int, model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *RULE_COLUMNS, "n_grams", "nll"])
 
     extra = [T.StructField(c, T.LongType()) for c in (*RULE_COLUMNS, "n_grams")] + [T.StructField("nll", T.DoubleType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *extra]))
+    return docs.mapInArrow(frees(run), T.StructType([*docs.schema.fields, *extra]))
 
 
-def _joined_nll(docs: DataFrame, order: int, model: DataFrame, scratch: Scratch) -> DataFrame:
+def _joined_nll(docs: DataFrame, order: int, model: DataFrame, scratch: Scratch, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The same as _measured with a model of any size: each text's n-gram counts join the model by hash."""
-    rows = scratch.keep(_measured(docs, order, None).drop("nll").withColumn("_row", F.monotonically_increasing_id()), "rows")
+    rows = scratch.keep(_measured(docs, order, None, text_col, lang_col).drop("nll").withColumn("_row", F.monotonically_increasing_id()), "rows")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for row, text, lang in zip(batch.column("_row").to_pylist(), batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+            for row, text, lang in zip(batch.column("_row").to_pylist(), batch.column(text_col).to_pylist(), batch.column(lang_col).to_pylist(), strict=True):
                 if text:
                     h, n = np.unique(_hashes(_points(text, order), order, _lang_key(lang)), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), row), pa.int64()), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["_row", "h", "n"])
 
-    grams = rows.select("_row", "text", "lang").mapInArrow(run, "_row long, h long, n long")
+    grams = rows.select("_row", text_col, lang_col).mapInArrow(frees(run), "_row long, h long, n long")
     sums = grams.join(model, "h").groupBy("_row").agg((-F.sum(F.col("n") * F.col("logp").cast("double"))).alias("nll"))
     return rows.join(sums, "_row", "left").drop("_row").withColumn("nll", F.coalesce("nll", F.lit(0.0)))
 
@@ -274,17 +274,19 @@ def quality_scores(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     counts = scratch.keep(ngram_counts(text_lang, order), "counts")
     model = scratch.keep(kneser_ney(counts, order, scratch), "model")
     entries = model.count()
-    kept = [F.col(c).alias(f"_keep_{c}") for c in keep or []]
-    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), *kept)
+    kept = {c: f"_keep_{c}" for c in keep or []}
+    text, lang = kept.get(text_col, "text"), kept.get(lang_col, "lang")  # a text that is kept is not sent twice
+    rows = docs.select(*[F.col(c).alias(name) for c, name in {text_col: text, lang_col: lang, **kept}.items()])
     if entries <= broadcast_entries:
         got = model.toArrow()
         arrays = hash_arrays(got.column("h").to_numpy().view(np.uint64), got.column("logp").to_numpy())
-        measured = _measured(rows, order, spark.sparkContext.broadcast(arrays))
+        measured = _measured(rows, order, spark.sparkContext.broadcast(arrays), text, lang)
     else:
-        measured = _joined_nll(rows, order, model, scratch)
-    scored = scratch.keep(measured.withColumn("log_ppl", F.try_divide("nll", "n_words")).drop("text", "nll"), "scored")
-    limits = bands(scored, width).withColumnRenamed("lang", "_lang")
-    out = scored.join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+        measured = _joined_nll(rows, order, model, scratch, text, lang)
+    measured = measured.withColumn("log_ppl", F.try_divide("nll", "n_words")).withColumn("_band", F.col(lang)).drop("nll", *[c for c in (text, lang) if c not in kept.values()])
+    scored = scratch.keep(measured, "scored")
+    limits = bands(scored.withColumn("lang", F.col("_band")), width).withColumnRenamed("lang", "_lang")
+    out = scored.join(limits, F.col("_band").eqNullSafe(F.col("_lang")), "left")
     failed = base_failed()
     fits = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(False))
     names = [F.col(f"_keep_{c}").alias(c) for c in keep or []]
