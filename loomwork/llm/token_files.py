@@ -14,96 +14,122 @@ lost executors and speculative copies leave at most files that nobody reads.
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
-from itertools import chain, islice
 from urllib.parse import urlparse
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, frees, table
 
 MAGIC = b"TOKIDX01"
 END_ID = 2
 PART_CHARS = 16_000_000  #: About so many bytes of UTF-8 text go into one part.
 NULL_ID = -(2**63)
-CACHED_PIECES = 250_000
+TEXTS_AT_ONCE = 8_000_000  #: About so many bytes of text are encoded at once: pieces that occur again among them cost nothing.
 
 
-def encoder(path: str, cached: int = CACHED_PIECES):
-    """(size of the vocabulary, a function from a list of texts to their ids as bytes of little-endian uint32): what Tokenizer.encode(text, add_special_tokens=False) gives.
+#: White space of any kind, for RE2; and such at an end of a text or beside a space.
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_UNEVEN = rf"(?:\A{_SPACE}|{_SPACE}\z| {_SPACE}|{_SPACE} )"
+_SPACE_LETTER = "\u0120"  #: How byte-level BPE writes a space.
+WORDS_AT_ONCE = 20_000
+REMEMBERED = 700_000  #: Beyond so many pieces all are forgotten.
+
+
+def encoder(path: str):
+    """(width of an id in bytes, a function from texts, a list or an Arrow array, to their ids as bytes of little-endian unsigned integers): what Tokenizer.encode(text, add_special_tokens=False) gives.
 
     A byte-level BPE file without normalizer, prefix space or truncation splits a text before every single space between
-    two characters that are no white space, whatever stands around: pieces between such spaces are encoded on their own,
-    and once only while they are remembered. For any other file, whole texts are encoded.
+    two characters that are no white space, whatever stands around. So Arrow splits the texts there and numbers the
+    distinct pieces; the library encodes each distinct piece that is not remembered, many in one text, where a token that
+    begins with a space begins a piece; and Arrow puts the ids of all pieces together. Texts with other white space beside a space or at an
+    end, and all texts for any other file, are encoded as they stand.
     """
     import json
     import os
 
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     spec = json.loads(tok.to_str())
-    pre = spec.get("pre_tokenizer") or {}
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
     local = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding")
-    local = local and all(not re.search(r"\s", x["content"]) and not (x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"]) for x in spec.get("added_tokens", []))
-
-    if not local:
-        return tok.get_vocab_size(), lambda texts: [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    # Two generations of remembered pieces, by whether a space precedes them: when the young one is full it becomes the
-    # old one, so what is met again stays and the memory is bounded.
-    young, old = ({}, {}), ({}, {})
-
-    added = [x["content"] for x in spec.get("added_tokens", [])]
-
-    def learn(pieces: list[str], spaced: int) -> None:
-        if named := [p for p in pieces if any(x in p for x in added)]:  # ids of added tokens belong to no word
-            young[spaced].update((p, np.array(tok.encode(" " * spaced + p, add_special_tokens=False).ids, "<u4").tobytes()) for p in named)
-            pieces = [p for p in pieces if p not in young[spaced]]
-        for i in range(0, len(pieces), 20_000):
-            part = pieces[i : i + 20_000]
-            e = tok.encode_batch([[" " + p for p in part] if spaced else part], is_pretokenized=True, add_special_tokens=False)[0]
-            raw, words = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids, np.int64)
-            ends = (4 * np.searchsorted(words, np.arange(len(part)), "right")).tolist()
-            young[spaced].update(zip(part, (raw[x:y] for x, y in zip([0, *ends], ends, strict=False)), strict=True))
+    local = local and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    local = local and all(" " not in x["content"] and not (x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"]) for x in spec.get("added_tokens", []))
+    vocabulary = tok.get_vocab()
+    size = max([END_ID, *vocabulary.values()]) + 1
+    width = 2 if size <= 2**16 else 4
+    dtype = f"<u{width}"
+    opens = np.zeros(size, bool)
+    opens[[i for t, i in vocabulary.items() if t.startswith(_SPACE_LETTER)]] = True
+
+    def ids(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    known: dict[str, bytes] = {}
+
+    def learn(pieces: list[str]) -> None:
+        """Remembers the ids that the pieces have after a space."""
+        for i in range(0, len(pieces), WORDS_AT_ONCE):
+            part = pieces[i : i + WORDS_AT_ONCE]
+            got = ids([" " + " ".join(part)])[0]
+            at = np.flatnonzero(opens[got])
+            if len(at) != len(part):
+                raise RuntimeError(f"{len(part)} pieces gave {len(at)} beginnings")
+            raw, cuts = got.tobytes(), (np.append(at, len(got)) * width).tolist()
+            known.update(zip(part, [raw[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], strict=True))
 
     def encode(texts):
-        cut = []
-        for text in texts:
-            parts = text.split(" ")
-            if not all(parts) or any(p[0].isspace() or p[-1].isspace() for p in parts if not p.isalpha()):
-                parts = joined(parts)  # a piece that is empty or has white space at an edge belongs to its neighbours
-            cut.append(parts)
-        for spaced, pieces in ((0, {p[0] for p in cut}), (1, set(chain.from_iterable(islice(p, 1, None) for p in cut)))):
-            if len(young[spaced]) > cached:
-                old[spaced].clear()
-                old[spaced].update(young[spaced])
-                young[spaced].clear()
-            missing = [p for p in pieces if p not in young[spaced]]
-            again = [p for p in missing if p in old[spaced]]
-            young[spaced].update((p, old[spaced][p]) for p in again)
-            if len(again) < len(missing):
-                learn([p for p in missing if p not in young[spaced]], spaced)
-        head, tail = young[0], young[1]
-        return [b"".join((head[p[0]], *map(tail.__getitem__, islice(p, 1, None)))) for p in cut]
-
-    return tok.get_vocab_size(), encode
-
-
-def joined(parts: list[str]) -> list[str]:
-    """The parts of a text between its spaces, so joined that a space stands between two parts only if no white space is next to it."""
-    out = [parts[0]]
-    for p in parts[1:]:
-        if not p or p[0].isspace() or not out[-1] or out[-1][-1].isspace():
-            out[-1] += " " + p
-        else:
-            out.append(p)
-    return out
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        out = [b""] * len(texts)
+        if not local:
+            return [x.tobytes() for x in ids(texts.to_pylist())]
+        uneven = pc.or_(pc.match_substring_regex(texts, _UNEVEN), pc.equal(pc.binary_length(texts), 0)).to_numpy(zero_copy_only=False)
+        odd = np.flatnonzero(uneven)
+        for i, x in zip(odd.tolist(), ids(texts.take(pa.array(odd)).to_pylist()), strict=True):
+            out[i] = x.tobytes()
+        even = np.flatnonzero(~uneven)
+        if len(even):
+            split = pc.split_pattern(texts.take(pa.array(even)), " ")
+            flat, starts = split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()
+            coded = flat.dictionary_encode()
+            pieces = coded.dictionary.to_pylist()
+            if len(known) > REMEMBERED:
+                known.clear()
+            learn([p for p in pieces if p not in known])
+            values = list(map(known.__getitem__, pieces))
+            heads = ids(flat.take(pa.array(starts[:-1])).to_pylist())  # no space before the first piece of a text
+            index = coded.indices.to_numpy().copy()
+            index[starts[:-1]] = len(pieces) + np.arange(len(heads))
+            values += [h.tobytes() for h in heads]
+            ends = np.zeros(len(values) + 1, np.int32)
+            np.cumsum(np.fromiter(map(len, values), np.int64, len(values)) // width, out=ends[1:])
+            taken = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(values), dtype))).take(pa.array(index))
+            cuts = (taken.offsets.to_numpy()[starts] * width).tolist()
+            raw = memoryview(taken.values.to_numpy()).cast("B")
+            for i, x, y in zip(even.tolist(), cuts, cuts[1:], strict=False):
+                out[i] = raw[x:y]
+        return out
+
+    return width, encode
+
+
+def worker_encoder(path: str):
+    """The encoder of this process. Workers serve many tasks, and each tokenizer that is built anew leaves some memory behind."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_loomwork_worker", types.ModuleType("_loomwork_worker"))
+    if getattr(kept, "path", None) != path:
+        kept.path, kept.encoder = path, encoder(path)
+    return kept.encoder
 
 
 def _files(folder: str):
@@ -134,30 +160,25 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex[:12]
         fs, root = _files(folder)
         name, sink, offsets, docs_seen = f"{part:06d}-{attempt}", None, [0], []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _gathered(batches):
             if sink is None:
-                size, encode = encoder(tokenizer)
-                dtype = "<u2" if max(size - 1, end_id) < 2**16 else "<u4"
-                end = np.array([end_id], "<u4").tobytes()
+                width, encode = worker_encoder(tokenizer)
+                end = end_id.to_bytes(width, "little")
                 fs.create_dir(root, recursive=True)
                 sink = fs.open_output_stream(f"{root}/{name}.ids")
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for i in range(0, len(texts), 64):
-                for ids4 in encode(texts[i : i + 64]):
-                    x = np.frombuffer(ids4 + end, "<u4")
-                    sink.write(x.astype(dtype).tobytes())
-                    offsets.append(offsets[-1] + len(x))
+            ids, got = batch.column("doc_id").to_pylist(), encode(batch.column("text"))
+            for x in got:
+                offsets.append(offsets[-1] + len(x) // width + 1)
+                sink.write(x)
+                sink.write(end)
             docs_seen += [NULL_ID if x is None else x for x in ids]
         if sink is not None:
             sink.close()
-            width = np.dtype(dtype).itemsize
             with fs.open_output_stream(f"{root}/{name}.idx") as f:
                 f.write(MAGIC + np.array([width, len(docs_seen)], "<i8").tobytes() + np.array(offsets, "<i8").tobytes() + np.array(docs_seen, "<i8").tobytes())
             yield pa.RecordBatch.from_pylist([{"part": part, "name": name, "n_docs": len(docs_seen), "n_tokens": offsets[-1]}])
 
-    made = ordered.drop("tie").mapInArrow(run, "part long, name string, n_docs long, n_tokens long").collect()  # one row for each part
+    made = ordered.drop("tie").mapInArrow(frees(run), "part long, name string, n_docs long, n_tokens long").collect()  # one row for each part
     base, manifest = 0, []
     for r in sorted(made, key=lambda r: r["part"]):
         manifest.append(r.asDict() | {"base": base})
@@ -165,6 +186,22 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str
     return manifest
 
 
+def _gathered(batches):
+    """Batches, joined until they hold enough text."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= TEXTS_AT_ONCE:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def open_part(folder: str, name: str):
     """(document ids, offsets, ids) of a part; the ids are mapped into memory where the folder is local, and offsets are in tokens from the part's start."""
     fs, root = _files(folder)
@@ -201,7 +238,7 @@ def read_token_files(spark: SparkSession, folder: str, manifest: list[dict]) ->
                     crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in cut]
                     yield pa.RecordBatch.from_arrays([pa.array([None if x == NULL_ID else x for x in ids[i:j].tolist()], pa.int64()), pa.array(offsets[i:j] + m["base"]), pa.array(np.diff(offsets[i : j + 1])), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return parts.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return parts.mapInArrow(frees(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def default_tokenizer() -> str:
