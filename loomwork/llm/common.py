@@ -75,6 +75,11 @@ class Scratch:
                 raise
 
 
+def beside(small: DataFrame, most: int = 100_000) -> DataFrame:
+    """A table of narrow rows to be joined with a large one: marked for broadcast if it has at most `most` rows, else left to a shuffled join. Counted here, so it should be a written one."""
+    return F.broadcast(small) if small.limit(most + 1).count() <= most else small
+
+
 def frees(run):
     """run, a function over an iterator of Arrow batches, so wrapped that the worker gives its memory back when a task ends: workers are used again, for other stages too."""
 

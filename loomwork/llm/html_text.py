@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import frees, small_batches, table
+from .common import Scratch, beside, frees, table
 from .url_rules import host_of
 
 #: Elements that end a block of text where they start and where they end.
@@ -217,8 +217,8 @@ def article_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     A null page is empty; a null url, or one without "://", belongs to the host "". Rows are read one by one, so repeated
     ids and rows are as good as others; an empty table gives an empty result. Other columns are ignored.
     """
-    small_batches(pages.sparkSession)
-    paths = host_paths(pages, url_col, html_col).withColumnRenamed("host", "_host").withColumnRenamed("path", "_path")
+    scratch = Scratch(pages.sparkSession, "html")
+    paths = beside(scratch.keep(host_paths(pages, url_col, html_col).withColumnRenamed("host", "_host").withColumnRenamed("path", "_path"), "paths"))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("_host"))
     rows = rows.join(paths, "_host", "left").select("page_id", "url", "html", "_path")
     schema = T.StructType([*rows.schema.fields[:2], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, table
+from .common import Scratch, beside, table
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -103,7 +103,7 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, limit)
     sources = sources.withColumn("shards", F.least(F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)), F.lit(max_shards)).cast("long"))
     sources = scratch.keep(sources, "sources")
-    named = sources.select(F.col("source").alias("_source"), "source_size", "target", "shards")
+    named = beside(sources).select(F.col("source").alias("_source"), "source_size", "target", "shards")
     dealt = sized.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     dealt = dealt.withColumn("shard", F.pmod(number_of(F.substring("place", 1, 8)), F.col("shards")))
     dealt = scratch.keep(dealt, "dealt")
@@ -121,7 +121,7 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     quotas = quotas.withColumn("full", F.coalesce(F.floor(F.try_divide("quota", "blocks")), F.lit(0))).withColumn("rest", F.col("quota") - F.col("full") * F.col("blocks")).withColumn("start", start)
     a, b = F.col("start"), F.col("start") + F.col("rest")
     quotas = quotas.select(F.col("source").alias("_s"), F.col("shard").alias("_h"), "full", (a * block_words).alias("_a"), (F.least(b, F.col("blocks")) * block_words).alias("_b"), (F.greatest(b - F.col("blocks"), F.lit(0)) * block_words).alias("_c"))
-    quotas = scratch.keep(quotas, "quotas")
+    quotas = beside(scratch.keep(quotas, "quotas"))
 
     upto = F.sum("size").over(Window.partitionBy("source", "shard").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, 0))
     laid = dealt.withColumn("end", upto).withColumn("begin", F.col("end") - F.col("size"))

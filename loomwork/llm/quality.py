@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Scratch, frees, mix64, table
+from .common import Scratch, beside, frees, mix64, table
 
 ORDER = 5
 BROADCAST_ENTRIES = 8_000_000  #: 12 bytes each: 96 MB on each executor at most.
@@ -128,7 +128,7 @@ def kneser_ney(counts: DataFrame, order: int, scratch: Scratch) -> DataFrame:
         levels[k] = scratch.keep(levels[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"level{k}")
     below = None
     for k in range(1, order + 1):
-        now = levels[k].join(_discounts(levels[k]).withColumnRenamed("lang", "dlang"), F.col("lang").eqNullSafe(F.col("dlang"))).drop("dlang")
+        now = levels[k].join(beside(scratch.keep(_discounts(levels[k]).withColumnRenamed("lang", "dlang"), f"discounts{k}")), F.col("lang").eqNullSafe(F.col("dlang"))).drop("dlang")
         context = Window.partitionBy("lang", F.substring("gram", 1, k - 1))
         n = F.col("n")
         cut = F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
@@ -285,7 +285,7 @@ def quality_scores(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
         measured = _joined_nll(rows, order, model, scratch, text, lang)
     measured = measured.withColumn("log_ppl", F.try_divide("nll", "n_words")).withColumn("_band", F.col(lang)).drop("nll", *[c for c in (text, lang) if c not in kept.values()])
     scored = scratch.keep(measured, "scored")
-    limits = bands(scored.withColumn("lang", F.col("_band")), width).withColumnRenamed("lang", "_lang")
+    limits = beside(scratch.keep(bands(scored.withColumn("lang", F.col("_band")), width).withColumnRenamed("lang", "_lang"), "bands"))  # one row for each language
     out = scored.join(limits, F.col("_band").eqNullSafe(F.col("_lang")), "left")
     failed = base_failed()
     fits = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(False))
