@@ -85,7 +85,7 @@ def lossless(original: DataFrame, rejoined: DataFrame) -> DataFrame:
 
 def split_list(df: DataFrame, column: str, separator: str = ",") -> DataFrame:
     """First normal form: a row for each trimmed element of a list in a cell; rows with an empty or null cell stay, with null."""
-    parts = F.filter(F.transform(F.split(column, separator), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(column, separator), lambda x: F.trim(x)), lambda x: x != "")
     return df.withColumn(column, F.explode_outer(parts))
 
 
