@@ -12,7 +12,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 #: Modules of loomwork.plans that register queries.
-PLANS = ("relational", "windows", "journeys", "quality", "texts", "linkage", "series", "experiments", "recommend", "models", "streams", "sources")
+PLANS = ("relational", "windows", "journeys", "quality", "texts", "linkage", "series", "experiments", "recommend", "models", "streams", "sources", "tracking")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
