@@ -81,17 +81,19 @@ def beside(small: DataFrame, most: int = 100_000) -> DataFrame:
 
 
 def frees(run):
-    """run, a function over an iterator of Arrow batches, so wrapped that the worker gives its memory back when a task ends: workers are used again, for other stages too."""
+    """run, a function over an iterator of Arrow batches, so wrapped that the worker gives its memory back when a task ends: workers are used again, for other stages too.
+
+    What an earlier stage has kept in the worker (see worker_encoder) goes first, unless run has the attribute `keeps`.
+    """
 
     def wrapped(batches):
         import ctypes
         import gc
+        import sys
 
         import pyarrow as pa
 
-        try:
-            yield from run(batches)
-        finally:
+        def release():
             gc.collect()
             pa.default_memory_pool().release_unused()
             try:
@@ -99,6 +101,13 @@ def frees(run):
             except (OSError, AttributeError):  # another C library
                 pass
 
+        if not getattr(run, "keeps", False) and sys.modules.pop("_loomwork_worker", None) is not None:
+            release()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
     return wrapped
 
 

@@ -36,7 +36,7 @@ _SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\
 _UNEVEN = rf"(?:\A{_SPACE}|{_SPACE}\z| {_SPACE}|{_SPACE} )"
 _SPACE_LETTER = "\u0120"  #: How byte-level BPE writes a space.
 WORDS_AT_ONCE = 20_000
-REMEMBERED = 700_000  #: Beyond so many pieces all are forgotten.
+REMEMBERED = 500_000  #: Beyond so many pieces all are forgotten.
 
 
 def encoder(path: str):
@@ -178,6 +178,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str
                 f.write(MAGIC + np.array([width, len(docs_seen)], "<i8").tobytes() + np.array(offsets, "<i8").tobytes() + np.array(docs_seen, "<i8").tobytes())
             yield pa.RecordBatch.from_pylist([{"part": part, "name": name, "n_docs": len(docs_seen), "n_tokens": offsets[-1]}])
 
+    run.keeps = True
     made = ordered.drop("tie").mapInArrow(frees(run), "part long, name string, n_docs long, n_tokens long").collect()  # one row for each part
     base, manifest = 0, []
     for r in sorted(made, key=lambda r: r["part"]):
