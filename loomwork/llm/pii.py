@@ -271,12 +271,16 @@ def _sampled(docs: DataFrame, train_docs: int, train_tokens: int):
 
         for batch in batches:
             for h, text in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                places, active, observed, chain, _ = graph(text, base_spans(text))
-                after = {a for a, _ in chain}
+                places, active, observed, chain, skips = graph(text, base_spans(text))
+                # what repeats an entity outside one may be what the patterns miss: it and its neighbours are no examples
+                open_ = {b for a, b in skips if observed[a] >= 0 > observed[b]} | {a for a, b in skips if observed[b] >= 0 > observed[a]}
+                open_ |= {b for a, b in chain if a in open_ and observed[b] < 0} | {a for a, b in chain if b in open_ and observed[a] < 0}
+                after = {a for a, b in chain if b not in open_}
                 labels = [max(x, 0) for x in observed]
-                following = [labels[k + 1] if k in after else -1 for k in range(len(labels))]
-                if places:
-                    yield pa.RecordBatch.from_arrays([pa.array([h] * len(places), pa.int64()), pa.array(range(len(places)), pa.int32()), pa.array(active, pa.list_(pa.int32())), pa.array(labels, pa.int32()), pa.array(following, pa.int32())], names=["h", "k", "active", "label", "following"])
+                use = [k for k in range(len(places)) if k not in open_]
+                if use:
+                    following = [labels[k + 1] if k in after else -1 for k in use]
+                    yield pa.RecordBatch.from_arrays([pa.array([h] * len(use), pa.int64()), pa.array(use, pa.int32()), pa.array([active[k] for k in use], pa.list_(pa.int32())), pa.array([labels[k] for k in use], pa.int32()), pa.array(following, pa.int32())], names=["h", "k", "active", "label", "following"])
 
     found = rows.mapInArrow(frees(run), "h long, k int, active array<int>, label int, following int").orderBy("h", "k", "label").limit(train_tokens).collect()
     pairs = [(r["label"], r["following"]) for r in found if r["following"] >= 0]

@@ -37,12 +37,10 @@ def test_base_patterns():
 def test_pii_result(spark):
     good = "4297648922181334"
     rows = [(1, f"mail eop.13@mail5.example.com and {good} at 70.214.118.188, +1 (314) 555-6532."), (2, None), (3, ""), (3, "plain words only"), (None, "x " * 20_000 + "me@host.org")]
-    more = [(100 + i, f"call +1 (314) 555-{1000 + i} now or (314) 555-{1000 + i} later, year {1900 + i}, mail a{i}@b.co, ip 10.1.2.{i}") for i in range(60)]
+    more = [(100 + i, f"call +1 (314) 555-{1000 + i} now, year {1900 + i}, mail a{i}@b.co, ip 10.1.2.{i}" + f" or again (314) 555-{1000 + i} later" * (i % 12 == 0)) for i in range(60)]
     df = spark.createDataFrame([(*r, "x") for r in rows + more], "doc_id long, text string, spans string")
     got = P.personal_data(df).collect()
     assert len(got) == len(rows) + len(more)
-    for r in got:
-        assert r["doc_id"] in (None, 3) or True
     by = {r["doc_id"]: r for r in got if r["doc_id"] not in (None, 3)}
     for k, t in [x for x in rows + more if x[0] not in (None, 3)]:
         base = plain_spans(t or "")
@@ -50,8 +48,9 @@ def test_pii_result(spark):
         assert by[k]["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
         assert [by[k][f"n_{x}"] for x in P.KINDS] == [sum(s[1] == i for s in base) for i in range(4)]
         assert set(filter(None, said.split(","))) <= set(filter(None, by[k]["spans"].split(",")))
-    assert sum(r["n_added"] for r in got) >= 50, "numbers without a country code, repeated, are found by the field"
-    assert all(r["n_added"] == 0 for r in got if r["doc_id"] in (2, 3))
+    # numbers that are written again without their country code are found by the field, and nothing else is
+    assert [by[k]["n_added"] for k, _ in more] == [int(i % 12 == 0) for i in range(60)]
+    assert all(r["n_added"] == 0 for r in got if r["doc_id"] in (1, 2, 3, None))
     assert P.personal_data(df.limit(0)).count() == 0
 
 
