@@ -264,7 +264,12 @@ def added_spans(text: str, places, observed, belief: np.ndarray, chain, confiden
 
 
 def _sampled(docs: DataFrame, train_docs: int, train_tokens: int):
-    rows = docs.where(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("text")).orderBy("h").limit(train_docs).select("h", "text")
+    rows = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("h"), "text")
+    # the smallest hashes are found among hashes alone, so no task gathers texts; copies of a text count once
+    least = rows.select("h").orderBy("h").limit(20 * train_docs).distinct().orderBy("h").limit(train_docs).agg(F.max("h")).first()[0]
+    if least is None:
+        return [], np.empty(0, np.int64), np.empty((0, 2), np.int64)
+    rows = rows.where(F.col("h") <= least).dropDuplicates(["h"])
 
     def run(batches):
         import pyarrow as pa
