@@ -41,10 +41,16 @@ def as_number(c: Column) -> Column:
     return F.when(~is_nullish(c), value)
 
 
+def _shape(layout: str) -> str:
+    """What texts of a layout look like; parsing is tried only where they do, since a failed attempt is dear."""
+    parts = re.findall(r"'[^']*'|MMMM|MMM|[yMdHms]|[^yMdHms']", layout)
+    return r"\A" + "".join({"MMMM": r"[A-Za-z]+", "MMM": r"[A-Za-z]{3}", "y": r"\d+"}.get(p, r"\d{1,2}" if p in "MdHms" else re.escape(p.strip("'"))) for p in parts) + r"\z"
+
+
 def as_datetime(c: Column) -> Column:
     """A timestamp, or null; the first layout that fits decides, then any ISO form."""
     s = trimmed(c)
-    return F.when(~is_nullish(c), F.coalesce(*[F.try_to_timestamp(s, F.lit(p)) for p in DATE_LAYOUTS], s.try_cast("timestamp")))
+    return F.when(~is_nullish(c), F.coalesce(*[F.when(s.rlike(_shape(p)), F.try_to_timestamp(s, F.lit(p))) for p in DATE_LAYOUTS], F.when(s.rlike(r"\A\d{4}-"), s.try_cast("timestamp"))))
 
 
 def full_match(c: Column, pattern: str) -> Column:
