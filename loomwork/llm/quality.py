@@ -24,7 +24,9 @@ from .common import Scratch, beside, frees, mix64, table
 
 ORDER = 5
 BROADCAST_ENTRIES = 8_000_000  #: 12 bytes each: 96 MB on each executor at most.
-BAND_WIDTH = 6.0  #: Interquartile ranges below the first and above the third quartile where the bands end.
+#: Interquartile ranges below the first and above the third quartile where the bands end. Checked against labels (see the
+#: README): above, 4 takes nearly all texts labelled bad and few others; below, labels do not separate, so 5 takes only the utmost.
+LOW_WIDTH, HIGH_WIDTH = 5.0, 4.0
 BIN = 0.01  #: Width of a bin of log perplexity per word in the histograms that the quartiles come from.
 LEAST_SPREAD = 0.05  #: An interquartile range below this counts as this.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -245,28 +247,29 @@ def _joined_nll(docs: DataFrame, order: int, model: DataFrame, scratch: Scratch,
     return rows.join(sums, "_row", "left").drop("_row").withColumn("nll", F.coalesce("nll", F.lit(0.0)))
 
 
-def bands(scored: DataFrame, width: float = BAND_WIDTH) -> DataFrame:
-    """(lang, low, high): limits of log perplexity per word, `width` interquartile ranges beyond the quartiles of all scored rows of the language."""
-    bins = scored.where("n_words > 0").groupBy("lang", F.floor(F.col("log_ppl") / BIN).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+def bands(scored: DataFrame, low_width: float = LOW_WIDTH, high_width: float = HIGH_WIDTH) -> DataFrame:
+    """(lang, low, high): limits of log perplexity per word, so many interquartile ranges beyond the quartiles of the language's distinct texts (by text_key) that pass the base rules."""
+    texts = scored.where(~base_failed()).groupBy("lang", "text_key").agg(F.min("log_ppl").alias("log_ppl"))
+    bins = texts.groupBy("lang", F.floor(F.col("log_ppl") / BIN).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy("lang")
     up = bins.withColumn("upto", F.sum("n").over(by.orderBy("bin"))).withColumn("total", F.sum("n").over(by))
     at = lambda q: (F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bin"))) + 0.5) * BIN
     quartiles = up.groupBy("lang").agg(at(0.25).alias("q1"), at(0.75).alias("q3"))
-    spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(LEAST_SPREAD)) * width
-    return quartiles.select("lang", (F.col("q1") - spread).alias("low"), (F.col("q3") + spread).alias("high"))
+    spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(LEAST_SPREAD))
+    return quartiles.select("lang", (F.col("q1") - spread * low_width).alias("low"), (F.col("q3") + spread * high_width).alias("high"))
 
 
 def base_failed(min_words: int = MIN_WORDS, max_percent: int = MAX_REPEAT_PERCENT) -> Column:
     return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_percent * F.col("n_words"))
 
 
-def quality_scores(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, order: int = ORDER, width: float = BAND_WIDTH, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
+def quality_scores(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, order: int = ORDER, low_width: float = LOW_WIDTH, high_width: float = HIGH_WIDTH, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
     """The columns `keep` of docs, with the rules' counts, n_grams, log_ppl, base_failed, low, high and kept.
 
     kept is false for rows that fail the base rules (fewer than 50 words, or over half of the words in repeated 3-word
     windows), else whether the log perplexity per word (log_ppl) lies in its language's band. A null or empty text has no
-    words and fails. A null language is a language of its own. Repeated rows are scored alike, each counted; an empty
-    table gives an empty result. Columns of docs whose names clash with those added must not be in `keep`.
+    words and fails. A null language is a language of its own; one without a text that passes the base rules has no band.
+    Repeated rows are scored alike, each counted in the model and once in the band; an empty table gives an empty result. Columns of docs whose names clash with those added must not be in `keep`.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
@@ -283,9 +286,9 @@ def quality_scores(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
         measured = _measured(rows, order, spark.sparkContext.broadcast(arrays), text, lang)
     else:
         measured = _joined_nll(rows, order, model, scratch, text, lang)
-    measured = measured.withColumn("log_ppl", F.try_divide("nll", "n_words")).withColumn("_band", F.col(lang)).drop("nll", *[c for c in (text, lang) if c not in kept.values()])
+    measured = measured.withColumn("log_ppl", F.try_divide("nll", "n_words")).withColumn("_band", F.col(lang)).withColumn("_text_key", F.xxhash64(text)).drop("nll", *[c for c in (text, lang) if c not in kept.values()])
     scored = scratch.keep(measured, "scored")
-    limits = beside(scratch.keep(bands(scored.withColumn("lang", F.col("_band")), width).withColumnRenamed("lang", "_lang"), "bands"))  # one row for each language
+    limits = beside(scratch.keep(bands(scored.withColumn("lang", F.col("_band")).withColumn("text_key", F.col("_text_key")), low_width, high_width).withColumnRenamed("lang", "_lang"), "bands"))  # one row for each language
     out = scored.join(limits, F.col("_band").eqNullSafe(F.col("_lang")), "left")
     failed = base_failed()
     fits = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(False))

@@ -235,3 +235,25 @@ def test_bands_reject_outliers(spark):
     got = {r["doc_id"]: r for r in Q.quality_scores(spark.createDataFrame(rows, "doc_id long, text string, lang string"), keep=["doc_id"]).collect()}
     assert not got[1000]["kept"] and not got[1000]["base_failed"]
     assert all(r["kept"] or r["base_failed"] for k, r in got.items() if k != 1000)
+
+
+@pytest.mark.parametrize("widener", ["copies", "rows that fail the base rules"])
+def test_bands_do_not_widen(spark, widener):
+    rnd = random.Random(1)
+    common = [f"{rnd.choice('bcdfg')}{rnd.choice('aeiou')}{rnd.choice('lmnrst')}" for _ in range(40)]
+    odd = lambda n: " ".join("".join(rnd.choice("qxzjkvwy#%&") for _ in range(9)) for _ in range(n))
+    rows = [(i, " ".join(rnd.choice(common) for _ in range(80)), "en") for i in range(120)] + [(1000, odd(80), "en")]
+    mixed = " ".join([odd(20), *(rnd.choice(common) for _ in range(60))])
+    rows += [(2000 + i, mixed if widener == "copies" else odd(20), "en") for i in range(60)]
+    got = {r["doc_id"]: r for r in Q.quality_scores(spark.createDataFrame(rows, "doc_id long, text string, lang string"), keep=["doc_id"]).collect()}
+    assert not got[1000]["kept"] and not got[1000]["base_failed"]
+    assert all(r["kept"] or r["base_failed"] for k, r in got.items() if k < 1000)
+
+
+def test_band_limits(spark):
+    """Quartiles of 9.0 and 9.2 (bins of 0.01) end the band five ranges below and four above; the copies and the short rows count for nothing."""
+    rows = [("en", i, 80, 0, 8.9 + 0.002 * i) for i in range(201)]
+    rows += [("en", 7, 80, 0, 8.914)] * 300 + [("en", 900 + i, 20, 0, 14.0) for i in range(300)] + [("fr", 1, 20, 0, 9.0)]
+    scored = spark.createDataFrame(rows, "lang string, text_key long, n_words long, n_repeat_words long, log_ppl double")
+    (got,) = Q.bands(scored).collect()
+    assert got["lang"] == "en" and got["low"] == pytest.approx(8.0, abs=0.07) and got["high"] == pytest.approx(10.0, abs=0.07)
