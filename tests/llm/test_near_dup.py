@@ -134,3 +134,20 @@ def test_equals_sql(spark, sf):
     con.sql(f"create view documents as from '{sf}/documents.parquet'")
     want = sorted(con.sql(N.OP3_SQL).fetchall(), key=repr)
     assert collect(N.op3_near_dup(spark, sf)) == want
+
+
+def test_banding_misses_few():
+    assert N.banding(85) == (40, 8)
+    for percent in range(60, 100):
+        bands, rows = N.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= 3e-6
+
+
+def test_lower_thresholds_miss_no_pair(spark):
+    """Pairs just at the threshold, which the bands of 0.85 would often not bring together."""
+    rnd, rows = random.Random(3), []
+    for k in range(60):  # 70 of 100 shingles in common
+        base = [f"{k}w{i}" for i in range(74)]
+        rows += [(2 * k + j, " ".join(base + [f"{k}x{j}y{rnd.random()}" for _ in range(15)])) for j in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collect(N.near_duplicates(df, percent=70)) == sorted(brute(rows, 70), key=repr)
