@@ -2,8 +2,8 @@
 
 A text is reduced to its words (lower case, joined by single spaces). A notice of k allowed edits is split into k + 1
 pieces; by the pigeonhole principle a passage within k edits holds at least one piece unchanged, so exact piece matches
-locate every candidate. The regex library then looks for the notice with at most k edits around each seed, counts the
-edits and reports the span.
+locate every candidate. A bit-parallel pass over the candidates' surroundings throws out what has more edits; the regex
+library then looks for the notice with at most k edits in what is left, counts the edits and reports the span.
 """
 
 from __future__ import annotations
@@ -49,6 +49,9 @@ class Notice:
         cuts = [len(text) * i // (self.edits + 1) for i in range(self.edits + 2)]
         self.pieces = [(text[a:b], a) for a, b in zip(cuts, cuts[1:], strict=False)]
         self.pattern = regex.compile(f"(?e)(?:{regex.escape(text)}){{e<={self.edits}}}")
+        self.masks: dict[str, int] = {}
+        for i, c in enumerate(text):
+            self.masks[c] = self.masks.get(c, 0) | 1 << i
 
     def windows(self, words: str) -> list[list[int]]:
         """Ranges of the text that hold every passage within the allowed edits, joined where they overlap."""
@@ -67,34 +70,65 @@ class Notice:
                 joined.append([a, b])
         return joined
 
+    def near(self, words: str, a: int, b: int) -> list[list[int]]:
+        """Parts of words[a:b] that hold every passage within the allowed edits: one bit-parallel pass over the range gives the least edits of a passage that ends at each place, so the pattern runs only where it matches."""
+        whole = (1 << len(self.text)) - 1
+        top, masks, up, down, edits, found = len(self.text) - 1, self.masks, whole, 0, len(self.text), []
+        for at in range(a, b):
+            same = masks.get(words[at], 0)
+            down_or_same = same | down
+            across = (((same & up) + up) ^ up) | same
+            plus, minus = (down | ~(across | up)) & whole, up & across
+            edits += (plus >> top) - (minus >> top)
+            plus, minus = plus << 1, minus << 1
+            up, down = (minus | ~(down_or_same | plus)) & whole, plus & down_or_same & whole
+            if edits <= self.edits:
+                start, end = max(a, at + 1 - len(self.text) - self.edits), min(b, at + 1 + self.edits)
+                if found and start <= found[-1][1]:
+                    found[-1][1] = end
+                else:
+                    found.append([start, end])
+        return found
+
     def matches(self, words: str) -> list[tuple[int, int, int]]:
         """(start, end, edits) of non-overlapping passages, leftmost first."""
         out = []
         for a, b in self.windows(words):
-            for m in self.pattern.finditer(words, a, b):
-                out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+            for x, y in self.near(words, a, b):
+                for m in self.pattern.finditer(words, x, y):
+                    out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
         return out
 
 
+def _places(padded: bytes, phrase: bytes) -> list[int]:
+    """Word numbers of the phrase's places, counted in one pass; places may share words, so the search goes on one space further."""
+    out, word, last, at = [], 0, 0, padded.find(phrase)
+    while at >= 0:
+        word, last = word + padded.count(b" ", last, at), at
+        out.append(word)
+        at = padded.find(phrase, at + 1)
+    return out
+
+
 def scan(text: bytes, phrases, notices) -> dict:
     """The result of one text: see licenses()."""
     words = text.translate(WORDS).split()
     padded = b" " + b" ".join(words) + b" "
     starts, labels = [], set()
     for phrase, label in phrases:
-        at = padded.find(phrase)
-        while at >= 0:
-            starts.append(padded.count(b" ", 0, at))
+        found = _places(padded, phrase)
+        if found:
+            starts += found
             labels.add(label)
-            at = padded.find(phrase, at + 1)
     spans, score = [], 1.0 if starts else 0.0
     if notices:
         plain = padded[1:-1].decode("utf-8", "surrogatepass") if len(words) else ""
-        for n in notices:
-            for a, b, edits in n.matches(plain):
-                spans.append((plain.count(" ", 0, a), a, b, n.label, edits))
-                score = max(score, 1 - edits / len(n.text))
-    spans.sort()
+        found = sorted((a, b, n.label, edits, len(n.text)) for n in notices for a, b, edits in n.matches(plain))
+        word = at = 0
+        for a, b, label, edits, size in found:  # by place, so words are counted once
+            word, at = word + plain.count(" ", at, a), a
+            spans.append((word, a, b, label, edits))
+            score = max(score, 1 - edits / size)
     return {"n_words": len(words), "starts": starts, "base": labels, "spans": spans, "score": score}
 
 
@@ -105,7 +139,9 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ph
     and largest of them, as word numbers from 0 (null without one). base_labels are their labels, labels also those of
     the notices found, distinct, sorted and joined by commas. score is 1 for a phrase, else the share of the best notice's
     characters that is unedited, else 0. spans has the notices found: word, start and end (characters of the words joined
-    by spaces), label and edits. Null and wordless texts have no words. Rows are judged one by one.
+    by spaces), label and edits. Null and wordless texts have no words. Rows are judged one by one, so repeated rows get
+    equal results and an empty table gives an empty result; of equal starts the shorter span comes first. Other columns are
+    ignored, whatever their names. Texts of any length are searched whole, in time in proportion to their length.
     """
     small_batches(docs.sparkSession)
     schema = T.StructType(
