@@ -42,6 +42,16 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def whole_row(df: DataFrame) -> F.Column:
+    """All columns of df as one struct, so that their names clash with none of an operator's; unpacked() gives them back."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`").alias(c) for c in df.columns])
+
+
+def unpacked(df: DataFrame, row: str = "row", **other) -> list[F.Column]:
+    """The columns that whole_row(df) holds in the column `row`; `other` gives expressions to stand in for some of them."""
+    return [(other[c] if c in other else F.col(row)[c]).alias(c) for c in df.columns]
+
+
 class Scratch:
     """Tables of one operator run, written to the shared folder so that lineage ends there and a lost executor costs no recomputation.
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SQL_ASCII_WORDS, WORDS, Scratch, frees, table
+from .common import SQL_ASCII_WORDS, WORDS, Scratch, frees, table, unpacked, whole_row
 
 WINDOW = 10
 BLOCK_WORDS = 500_000  #: Counted by the word rule. Measured: 115 MB in each worker, 400 MB on the driver while they are built.
@@ -146,7 +146,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame, text_col: str, item_id: str,
     """(row, the results): row is a struct of all columns of docs, so their names clash with none of ours."""
     spark = docs.sparkSession
     scratch, passes, waiting = Scratch(spark, "decontaminate"), None, None
-    rows, at = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row")), docs.columns.index(text_col)
+    rows, at = docs.select(whole_row(docs).alias("row")), docs.columns.index(text_col)
     for items in _blocks(benchmark, item_id, item_text, block_words, window):
         if waiting is not None:
             before, passes = passes, scratch.keep(_pass(rows if passes is None else passes, at, waiting, False), "pass")
@@ -209,7 +209,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs without any occurrence of a benchmark window, with their columns, whatever their names; see contamination()."""
     judged = _judged(docs, benchmark, text_col, "item_id", "text", WINDOW, BLOCK_WORDS)
-    return judged.where("not contaminated").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    return judged.where("not contaminated").select(*unpacked(docs))
 
 
 OP2_SQL = f"""

@@ -5,11 +5,13 @@ All steps are DataFrame operations:
 1. Each source gets a target: its weight's share of all words, at most three times its own size; what is cut off is
    shared again by weight among the others until no target is above its limit.
 2. A source is laid out in shards, its documents dealt by a seeded hash and, in each shard, put in seeded hash order; a
-   shard is cut into blocks of equal numbers of words. No source sits in one task: a shard holds about `shard_words`.
-3. Seats (blocks) go by highest quotients size / (2 * seats + 1): first from all blocks to the sources, by target, then
-   from each source's blocks to its shards, by size, so every shard has an integer quota.
-4. A shard whose quota is a multiple of its blocks takes them all so often; the rest is a run of consecutive blocks from
-   a seeded start, around the end. A run cuts at most two documents of a shard.
+   shard is cut into blocks of equal numbers of words (its last block may be shorter). No source sits in one task: a
+   shard holds about `shard_words`.
+3. Seats (blocks) go by highest quotients size / (2 * seats + 1): first all blocks to the sources, by target, then each
+   source's blocks to its shards, by size, so every shard has an integer quota. What rounding to blocks leaves or gives
+   too much, less than a block for each shard, is evened out in words, so a source gets its target to the word.
+4. A shard whose quota is a multiple of its words takes them all so often; for the rest its blocks stand in seeded order
+   and are taken one by one until the rest is reached, the last one in part.
 """
 
 from __future__ import annotations
@@ -18,12 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, beside, table
+from .common import Scratch, beside, table, unpacked, whole_row
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 SEED = "mix-1"
-BLOCK_WORDS = 4  #: Blocks are never listed, only counted, so small ones cost nothing and hold small sources near their targets.
+BLOCK_WORDS = 1024
 SHARD_WORDS = 250_000
 MAX_SHARDS = 65_536  #: Of one source. Beyond it, shards grow instead: their words are summed in a sort that spills.
 
@@ -88,72 +90,123 @@ def number_of(hexdigits: Column) -> Column:
     return F.conv(hexdigits, 16, 10).cast("long")
 
 
-def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, limit: int = MAX_REPEATS, seed: str = SEED, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, max_shards: int = MAX_SHARDS) -> DataFrame:
-    """Per row: doc_id, source, size, source_size, target, taken, and what is taken: full (whole passes), low1, high1, low2, high2 (word ranges of one more pass).
+_KEY = ["has_source", "source_key"]  #: A source as two columns that are never null, so that joins and windows on it share one shuffle.
 
-    size is the number of words; a null text has none, and a null source is a source like others, last in order. A source
-    without words has target 0. Rows that repeat an id are separate documents that lie side by side; rows that repeat it
-    with the same size are interchangeable. The sum of `taken` of a source differs from its target by less than a block and the last blocks of its
-    shards; none exceeds limit * size. Reruns agree, since places hang on the seed and the id only. An empty table gives
-    an empty result. One row for each source and for each shard of a source is sorted in one task.
+
+def _keyed(df: DataFrame) -> DataFrame:
+    return df.withColumn("has_source", F.col("source").isNotNull()).withColumn("source_key", F.coalesce("source", F.lit("")))
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, whole: bool) -> DataFrame:
+    """(doc_id, source, its key, size, place, tie, and with `whole` all columns of docs as one struct) of each row."""
+    text = F.col(text_col)
+    out = docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.col(source_col).cast("string").alias("source"),
+        word_count(text).alias("size"),
+        _place(F.col(id_col), text, seed).alias("place"),
+        F.xxhash64(text).alias("tie"),
+        *([whole_row(docs).alias("row")] if whole else []),
+    )
+    return _keyed(out)
+
+
+def shard_quotas(shards: DataFrame, sources: DataFrame, limit: int, block_words: int) -> DataFrame:
+    """shards(source, shard, words), sources(source, target) -> (source, shard, words, quota): words that the mix takes of each shard, repeats counted.
+
+    Blocks go by highest quotients to sources and then to their shards; base is what a shard's blocks hold, at most its
+    limit. The difference to the source's target is then spread, in words, over what the shards have left up to their
+    limits, or over what they have where it is negative, by cumulative rounding: the sum is the rounded target.
     """
+    blocks = F.ceil(F.col("words") / block_words).cast("long")
+    totals = _keyed(shards).groupBy(*_KEY).agg(F.sum(blocks).alias("all_blocks"))
+    every = _keyed(sources).join(totals, _KEY)
+    seats = every.crossJoin(every.agg(F.round(F.sum("target") / block_words).cast("long").alias("seats"))).select("source", "target", "all_blocks", "seats")  # one row
+    by_source = sainte_lague(seats, [], "target", "seats", [F.col("source").asc_nulls_last()])
+    by_source = _keyed(by_source).select(*_KEY, "target", F.least("quota", limit * F.col("all_blocks")).alias("seats"))
+    parties = _keyed(shards).join(by_source, _KEY).select("source", "shard", "words", "target", "seats")
+    got = _keyed(sainte_lague(parties, ["source"], "words", "seats", [F.col("shard")]))
+    most = limit * F.col("words")
+    own = Window.partitionBy(*_KEY)
+    got = got.withColumn("base", F.least(F.col("quota") * block_words, most))
+    got = got.withColumn("d", F.floor(F.col("target") + 0.5).cast("long") - F.sum("base").over(own))
+    got = got.withColumn("part", F.when(F.col("d") >= 0, most - F.col("base")).otherwise(F.col("base")))
+    upto = F.sum("part").over(own.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
+    got = got.withColumn("upto", upto).withColumn("parts", F.sum("part").over(own))
+    share = lambda x: F.floor(F.col("d") * F.coalesce(F.try_divide(x, F.col("parts")), F.lit(0.0))).cast("long")
+    return got.select("source", "shard", "words", (F.col("base") + share(F.col("upto")) - share(F.col("upto") - F.col("part"))).alias("quota"))
+
+
+def _cuts(quotas: DataFrame, seed: str, block_words: int) -> DataFrame:
+    """quotas with full (whole passes) and cuts: for each block of the shard, how many of its first words one more pass takes."""
+    words, n = F.col("words"), F.ceil(F.col("words") / block_words).cast("int")
+    out = quotas.withColumn("full", F.coalesce(F.floor(F.try_divide("quota", "words")), F.lit(0)).cast("long")).withColumn("rest", F.col("quota") - F.col("full") * words)
+    name = lambda i: F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("")), F.lit(":"), F.col("shard").cast("string"), F.lit(":"), i.cast("string")).cast("binary"))
+    listed = F.when(words > 0, F.array_sort(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(name(i).alias("k"), i.alias("i"))))).otherwise(F.array().cast("array<struct<k:string,i:int>>"))
+    out = out.withColumn("order", F.transform(listed, lambda x: x["i"]))
+    short, at_last = n * block_words - words, F.array_position("order", n - 1) - 1  # the last block lacks `short` words and stands there in the order
+    cut = lambda i, k: F.greatest(F.least(F.col("rest") - (k * block_words - F.when(k > at_last, short).otherwise(0)), F.least(F.lit(block_words), words - i * block_words)), F.lit(0)).cast("int")
+    cuts = F.array_sort(F.transform("order", lambda i, k: F.struct(i.alias("i"), cut(i.cast("long"), k.cast("long")).alias("cut"))))
+    return out.withColumn("cuts", F.transform(cuts, lambda x: x["cut"])).drop("order", "rest", "quota", "words")
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple, limit: int, seed: str, block_words: int, shard_words: int, max_shards: int, whole: bool) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "mixing")
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), _place(F.col(id_col), F.col(text_col), seed).alias("place"))
-    sized = scratch.keep(sized, "sized")
-    sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, limit)
+    narrow = scratch.keep(_sized(docs, id_col, text_col, source_col, seed, False), "sized")
+    sources = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, limit)
     sources = sources.withColumn("shards", F.least(F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)), F.lit(max_shards)).cast("long"))
     sources = scratch.keep(sources, "sources")
-    named = beside(sources).select(F.col("source").alias("_source"), "source_size", "target", "shards")
-    dealt = sized.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    dealt = dealt.withColumn("shard", F.pmod(number_of(F.substring("place", 1, 8)), F.col("shards")))
-    dealt = scratch.keep(dealt, "dealt")
-
-    blocks = F.ceil(F.col("words") / block_words)
-    shards = scratch.keep(dealt.groupBy("source", "shard").agg(F.sum("size").alias("words")).withColumn("blocks", blocks), "shards")
-    every = sources.join(shards.groupBy(F.col("source").alias("_s")).agg(F.sum("blocks").alias("_blocks")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    seats = every.crossJoin(every.agg(F.round(F.sum("target") / block_words).cast("long").alias("seats"))).select("source", "target", "_blocks", "seats")  # one row
-    by_source = sainte_lague(seats, [], "target", "seats", [F.col("source").asc_nulls_last()])
-    by_source = by_source.select(F.col("source").alias("_s"), F.least("quota", limit * F.col("_blocks")).alias("seats"))
-    parties = shards.join(by_source, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    quotas = sainte_lague(parties, ["source"], "words", "seats", [F.col("shard")])
-    quotas = quotas.withColumn("quota", F.least("quota", limit * F.col("blocks")))
-    start = F.pmod(number_of(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("")), F.lit(":"), F.col("shard").cast("string")).cast("binary")), 1, 12)), F.greatest("blocks", F.lit(1)))
-    quotas = quotas.withColumn("full", F.coalesce(F.floor(F.try_divide("quota", "blocks")), F.lit(0))).withColumn("rest", F.col("quota") - F.col("full") * F.col("blocks")).withColumn("start", start)
-    a, b = F.col("start"), F.col("start") + F.col("rest")
-    quotas = quotas.select(F.col("source").alias("_s"), F.col("shard").alias("_h"), "full", (a * block_words).alias("_a"), (F.least(b, F.col("blocks")) * block_words).alias("_b"), (F.greatest(b - F.col("blocks"), F.lit(0)) * block_words).alias("_c"))
-    quotas = beside(scratch.keep(quotas, "quotas"))
-
-    upto = F.sum("size").over(Window.partitionBy("source", "shard").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, 0))
-    laid = dealt.withColumn("end", upto).withColumn("begin", F.col("end") - F.col("size"))
-    out = laid.join(quotas, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_h")))
-    inside = lambda lo, hi: (F.least(F.greatest(lo - F.col("begin"), F.lit(0)), F.col("size")), F.least(F.greatest(hi - F.col("begin"), F.lit(0)), F.col("size")))
-    (low1, high1), (low2, high2) = inside(F.lit(0), F.col("_c")), inside(F.col("_a"), F.col("_b"))
-    out = out.withColumns({"low1": low1, "high1": high1, "low2": low2, "high2": high2})
-    taken = F.col("full") * F.col("size") + F.col("high1") - F.col("low1") + F.col("high2") - F.col("low2")
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "full", "low1", "high1", "low2", "high2", "place")
+    named = beside(_keyed(sources).select(*_KEY, "source_size", "target", "shards"))
+    shard = F.pmod(number_of(F.substring("place", 1, 8)), F.col("shards")).alias("shard")
+    shards = scratch.keep(narrow.join(named, _KEY).select("source", shard, "size").groupBy("source", "shard").agg(F.sum("size").alias("words")), "shards")
+    quotas = scratch.keep(_cuts(scratch.keep(shard_quotas(shards, sources.select("source", "target"), limit, block_words), "quotas"), seed, block_words), "cuts")
+    quotas = beside(_keyed(quotas).drop("source"), 4_000_000 // max(1, shard_words // block_words))  # four million numbers at most
+
+    # a document without words is never taken
+    rows = _sized(docs, id_col, text_col, source_col, seed, True).where("size > 0") if whole else narrow
+    dealt = rows.join(named, _KEY).select(*rows.columns, "source_size", "target", shard)
+    upto = F.sum("size").over(Window.partitionBy(*_KEY, "shard").orderBy("place", "size", "tie").rowsBetween(Window.unboundedPreceding, 0))
+    laid = dealt.withColumn("end", upto).withColumn("begin", F.col("end") - F.col("size")).join(quotas, [*_KEY, "shard"])
+    of = F.sequence(F.floor(F.col("begin") / block_words), F.floor((F.col("end") - 1) / block_words))
+    low = lambda i: F.greatest(F.col("begin"), i * block_words)
+    high = lambda i: F.greatest(F.least(F.col("end"), i * block_words + F.get("cuts", i.cast("int"))), low(i))
+    ranges = F.filter(F.transform(of, lambda i: F.struct((low(i) - F.col("begin")).alias("low"), (high(i) - F.col("begin")).alias("high"))), lambda r: r["high"] > r["low"])
+    out = laid.withColumn("ranges", F.when(F.col("size") > 0, ranges).otherwise(F.array().cast("array<struct<low:bigint,high:bigint>>")))
+    part = F.aggregate("ranges", F.lit(0).cast("long"), lambda a, r: a + r["high"] - r["low"])
+    out = out.withColumn("part", part)
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("full") * F.col("size") + F.col("part")).alias("taken"), "full", "part", "ranges", *(["row"] if whole else []))
+
+
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, limit: int = MAX_REPEATS, seed: str = SEED, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, max_shards: int = MAX_SHARDS) -> DataFrame:
+    """Per row: doc_id, source, size, source_size, target, taken, and what is taken: full (whole passes), part (words of one more pass) and ranges (their places: low, high).
+
+    size is the number of words; a null text has none, and a null source is a source like others, last in order. A source
+    without words has target 0. Rows that repeat an id are separate documents that lie side by side; rows that repeat id
+    and text are interchangeable. The sum of `taken` of a source is its target, rounded; no document exceeds
+    limit * size. Reruns agree, since places hang on the seed, the id and the text only. An empty table gives an empty
+    result; other columns are ignored, whatever their names. Texts of any length are counted whole. One row for each
+    source, and one for each shard of a source, is sorted in one task.
+    """
+    return _mixed(docs, id_col, text_col, source_col, weights, limit, seed, block_words, shard_words, max_shards, False)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The mix as rows with the columns of docs: each document once for each whole pass, and once more with the words of a partial pass.
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, limit: int = MAX_REPEATS, seed: str = SEED, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, max_shards: int = MAX_SHARDS) -> DataFrame:
+    """The mix as rows with the columns of docs, whatever their names: each document once for each whole pass, and once more with the words of a partial pass; see mixture().
 
     A partial pass that covers the whole text has it unchanged; a part of a text is its words joined by single spaces.
+    Documents without words are in no mix.
     """
-    mix = mixture(docs, id_col, text_col, **options).where("taken > 0")
-    # rows of one id and size are interchangeable, but each must be taken once: they are numbered on both sides
-    number = lambda: F.row_number().over(Window.partitionBy("_place", "_size").orderBy(F.lit(0)))
-    mix = mix.select(F.col("place").alias("_place"), F.col("size").alias("_size"), "full", "low1", "high1", "low2", "high2").withColumn("_no", number())
-    rows = docs.withColumn("_place", _place(F.col(id_col), F.col(text_col), options.get("seed", SEED))).withColumn("_size", word_count(F.col(text_col))).withColumn("_no", number())
-    both = rows.join(mix, ["_place", "_size", "_no"])
-    words = F.filter(F.split(text_col, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    cut = lambda lo, hi: F.slice(words, (F.col(lo) + 1).cast("int"), (F.col(hi) - F.col(lo)).cast("int"))
-    partial = F.col("high1") - F.col("low1") + F.col("high2") - F.col("low2")
-    once_more = F.when(partial >= F.col("_size"), F.array(F.col(text_col))).when(partial > 0, F.array(F.array_join(F.concat(cut("low1", "high1"), cut("low2", "high2")), " "))).otherwise(F.array().cast("array<string>"))
-    texts = F.concat(F.array_repeat(F.col(text_col), F.col("full").cast("int")), once_more)
-    return both.withColumn("_text", F.explode(texts)).select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    mix = _mixed(docs, id_col, text_col, source_col, weights, limit, seed, block_words, shard_words, max_shards, True).where("taken > 0")
+    text = F.col("row")[text_col]
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = F.array_join(F.flatten(F.transform("ranges", lambda r: F.slice(words, (r["low"] + 1).cast("int"), (r["high"] - r["low"]).cast("int")))), " ")
+    once_more = F.when(F.col("part") >= F.col("size"), F.array(text)).when(F.col("part") > 0, F.array(cut)).otherwise(F.array().cast("array<string>"))
+    passes = mix.select("row", F.explode(F.concat(F.array_repeat(text, F.col("full").cast("int")), once_more)).alias("text"))
+    return passes.select(*unpacked(docs, **{text_col: F.col("text")}))
 
 
 _W = r"[^\x20\x09-\x0D]+"
@@ -180,13 +233,22 @@ q4 AS (SELECT k.source, k.shard, k.words, k.blocks, least(coalesce(seats, 0), {M
 q5 AS (SELECT source, shard, seats, words / (2 * i + 1) AS q FROM (SELECT source, shard, seats, words, unnest(range(0, CAST(words * seats / all_words AS BIGINT) + 40)) AS i FROM q4 WHERE words > 0)),
 q6 AS (SELECT source, shard, seats, row_number() OVER (PARTITION BY source ORDER BY q DESC, shard) AS n FROM q5),
 q7 AS (SELECT source, shard, count(*) AS quota FROM q6 WHERE n <= seats GROUP BY source, shard),
-a AS (SELECT k.source, k.shard, k.blocks, least(coalesce(quota, 0), {MAX_REPEATS} * k.blocks) AS quota,
-      CAST('0x' || substr(md5('{SEED}:' || coalesce(k.source, '') || ':' || CAST(k.shard AS VARCHAR)), 1, 12) AS BIGINT) % greatest(k.blocks, 1) AS start
-      FROM k LEFT JOIN q7 ON k.source IS NOT DISTINCT FROM q7.source AND k.shard = q7.shard),
-b AS (SELECT source, shard, CASE WHEN blocks > 0 THEN quota // blocks ELSE 0 END AS passes, start, start + CASE WHEN blocks > 0 THEN quota % blocks ELSE 0 END AS stop, blocks FROM a),
-l AS (SELECT e.*, sum(size) OVER (PARTITION BY source, shard ORDER BY place, size ROWS UNBOUNDED PRECEDING) AS stop FROM e)
-SELECT l.doc_id, l.size, l.source_size, l.target,
-  CAST(b.passes * l.size + least(greatest(least(b.stop, b.blocks) * {BLOCK_WORDS} - (l.stop - l.size), 0), l.size) - least(greatest(b.start * {BLOCK_WORDS} - (l.stop - l.size), 0), l.size)
-  + least(greatest(greatest(b.stop - b.blocks, 0) * {BLOCK_WORDS} - (l.stop - l.size), 0), l.size) AS BIGINT) AS taken
-FROM l JOIN b ON l.source IS NOT DISTINCT FROM b.source AND l.shard = b.shard
+-- a shard's words: those of its blocks, and its part of what the source's target differs from its blocks
+a AS (SELECT k.source, k.shard, CAST(k.words AS BIGINT) AS words, CAST(floor(g.target + 0.5) AS BIGINT) AS want, CAST(least(coalesce(quota, 0) * {BLOCK_WORDS}, {MAX_REPEATS} * k.words) AS BIGINT) AS base
+      FROM k JOIN g ON k.source IS NOT DISTINCT FROM g.source LEFT JOIN q7 ON k.source IS NOT DISTINCT FROM q7.source AND k.shard = q7.shard),
+a2 AS (SELECT *, CAST(want - sum(base) OVER (PARTITION BY source) AS BIGINT) AS d FROM a),
+a3 AS (SELECT *, CASE WHEN d >= 0 THEN {MAX_REPEATS} * words - base ELSE base END AS part FROM a2),
+a4 AS (SELECT *, CAST(sum(part) OVER (PARTITION BY source ORDER BY shard ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS upto, CAST(sum(part) OVER (PARTITION BY source) AS DOUBLE) AS parts FROM a3),
+a5 AS (SELECT source, shard, words, base + CASE WHEN parts > 0 THEN CAST(floor(d * (upto / parts)) AS BIGINT) - CAST(floor(d * ((upto - part) / parts)) AS BIGINT) ELSE 0 END AS quota FROM a4),
+b AS (SELECT source, shard, words, CASE WHEN words > 0 THEN quota // words ELSE 0 END AS passes, CASE WHEN words > 0 THEN quota % words ELSE 0 END AS rest FROM a5),
+-- the shard's blocks in seeded order, and how many of its first words each gives
+c1 AS (SELECT source, shard, rest, i, least({BLOCK_WORDS}, words - i * {BLOCK_WORDS}) AS size, md5('{SEED}:' || coalesce(source, '') || ':' || CAST(shard AS VARCHAR) || ':' || CAST(i AS VARCHAR)) AS k
+       FROM (SELECT *, unnest(range(0, (words + {BLOCK_WORDS} - 1) // {BLOCK_WORDS})) AS i FROM b)),
+c2 AS (SELECT source, shard, i, greatest(least(rest - (sum(size) OVER (PARTITION BY source, shard ORDER BY k, i ROWS UNBOUNDED PRECEDING) - size), size), 0) AS cut FROM c1),
+l AS (SELECT e.*, CAST(sum(size) OVER (PARTITION BY source, shard ORDER BY place, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM e),
+m AS (SELECT l.*, stop - size AS start, unnest(range((stop - size) // {BLOCK_WORDS}, CASE WHEN size > 0 THEN (stop - 1) // {BLOCK_WORDS} + 1 ELSE (stop - size) // {BLOCK_WORDS} END)) AS i FROM l),
+n AS (SELECT m.r, sum(greatest(least(m.stop, m.i * {BLOCK_WORDS} + c2.cut) - greatest(m.start, m.i * {BLOCK_WORDS}), 0)) AS part
+      FROM m JOIN c2 ON m.source IS NOT DISTINCT FROM c2.source AND m.shard = c2.shard AND m.i = c2.i GROUP BY m.r)
+SELECT l.doc_id, l.size, l.source_size, l.target, CAST(b.passes * l.size + coalesce(n.part, 0) AS BIGINT) AS taken
+FROM l JOIN b ON l.source IS NOT DISTINCT FROM b.source AND l.shard = b.shard LEFT JOIN n ON l.r = n.r
 """

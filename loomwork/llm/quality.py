@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Scratch, beside, frees, mix64, table
+from .common import Scratch, beside, frees, mix64, table, unpacked, whole_row
 
 ORDER = 5
 BROADCAST_ENTRIES = 4_000_000  #: 16 bytes each: 64 MB in each worker at most.
@@ -310,7 +310,7 @@ def _judged(docs: DataFrame, text_col: str, lang_col: str, keep: list[str], orde
     counts = scratch.keep(ngram_counts(text_lang, order, held_out), "counts")
     model = scratch.keep(kneser_ney(counts, order, scratch), "model")
     entries = model.count()
-    columns, where = [F.struct(*[F.col(c) for c in keep] or [F.lit(0).alias("none")]).alias("row")], []
+    columns, where = [(whole_row(docs.select(*keep)) if keep else F.struct(F.lit(0).alias("none"))).alias("row")], []
     for c, name in ((text_col, "text"), (lang_col, "lang")):  # a text that is kept is not sent twice
         if c in keep:
             where.append(("row", keep.index(c)))
@@ -357,4 +357,4 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filter_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER, low_width: float = LOW_WIDTH, high_width: float = HIGH_WIDTH, broadcast_entries: int = BROADCAST_ENTRIES, held_out: bool = False) -> DataFrame:
     """The rows of docs that the rules keep, with their columns, whatever their names; see quality_scores()."""
     judged = _judged(docs, text_col, lang_col, docs.columns, order, low_width, high_width, broadcast_entries, held_out)
-    return judged.where("kept").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    return judged.where("kept").select(*unpacked(docs))
