@@ -10,8 +10,11 @@ Stages, all over whole texts and all rows:
 4. Inside a group, blocks of a bounded number of classes are compared: pairs that share a band and whose odd sketches'
    XOR population count estimates a similarity not far below the threshold are confirmed on full shingle sets, most
    similar first, skipping pairs that are connected already. A block gives a spanning forest, never all pairs.
-5. Groups of more than one block compare each block with itself and a hub block; what then is outside the group's
-   largest component is compared with every block. Every pair that shares a band is so either connected or compared.
+5. Groups of more than one block compare each block with itself and a hub block. What then is outside the group's
+   largest component (its rest) is grouped anew by rare shingles: two sets that are similar enough share one of the
+   rarest few of each (see _refined), which members of a family with one template and different contents do not. Fine
+   groups of one block are compared there; of larger ones, the rest meets every block. Every pair that shares a band is
+   so either connected, or compared, or shown to be apart by its rare shingles.
 """
 
 from __future__ import annotations
@@ -20,11 +23,11 @@ import math
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, SQL_SPACED_WORDS, Scratch, binary_texts, frees, mix64, table, word_hashes
+from .common import LOWER, SQL_SPACED_WORDS, Scratch, binary_texts, frees, mix64, table, unpacked, whole_row, word_hashes
 from .components import connected_components
 
 SHINGLE = 5
@@ -33,6 +36,7 @@ MISS = 3e-6  #: A pair just at the threshold shares no band with this probabilit
 SKETCH_BITS = 512
 SKETCH_MARGIN = 0.15  #: The sketch rejects a pair only if it estimates this much below the threshold: about 6 standard errors.
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 400_000
+COUNTERS = 2**20  #: Of shingles by hash, to tell rare from frequent ones; two that share a counter are only ordered worse.
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -179,6 +183,90 @@ def _block_edges(blocks: DataFrame, percent: int, bits: int, samples: int, margi
     return blocks.groupBy("block").applyInArrow(run, "a long, b long")
 
 
+def _counter_of(items: np.ndarray, gid: int) -> np.ndarray:
+    return (mix64(items ^ np.uint64(gid & 0xFFFFFFFFFFFFFFFF)) % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def _shingle_counts(members: DataFrame) -> np.ndarray:
+    """members(gid, text): how many members of its group have the shingles of each counter; at most COUNTERS numbers reach the driver."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        hashes, total = word_hashes(), np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for gid, text in zip(batch.column("gid").to_pylist(), binary_texts(batch), strict=True):
+                np.add.at(total, _counter_of(shingle_set(text, hashes), gid), 1)
+        at = np.flatnonzero(total)
+        for i in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000]), pa.array(total[at[i : i + 100_000]])], names=["at", "n"])
+
+    got = members.select("gid", "text").mapInArrow(frees(run), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[got.column("at").to_numpy()] = got.column("n").to_numpy()
+    return np.minimum(out, 2**31 - 1).astype(np.int32)
+
+
+def _refined(members: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """members(gid, cid, label, rest, text) -> (cid, fine): finer groups that keep every link of a rest member with another label together.
+
+    In each group the shingles have one order, from rare to frequent. Sets of a and b shingles that are linked share at
+    least (a + b) * percent / (100 + percent), so the first one that they share, the i-th of one and the j-th of the
+    other, has at least so many shingles from there on in both: it is among the first a - a * percent / 100 of its set,
+    and in one of the two sets, the smaller, among the first a - 2 a * percent / (100 + percent), called early here. Only
+    shingles that a rest member, an early one and two labels have can be it; whoever has such a one is in one fine group.
+    """
+    counts = scratch.spark.sparkContext.broadcast(_shingle_counts(members))
+
+    def run(batches):
+        import pyarrow as pa
+
+        hashes, often = word_hashes(), counts.value
+        for batch in batches:
+            for gid, cid, label, rest, text in zip(*[batch.column(c).to_pylist() for c in ("gid", "cid", "label", "rest")], binary_texts(batch), strict=True):
+                items = shingle_set(text, hashes)
+                n = len(items)
+                items = items[np.lexsort((items, often[_counter_of(items, gid)]))][: n - -(-n * percent // 100) + 1]
+                early = np.arange(len(items)) <= n - -(-2 * n * percent // (100 + percent))
+                one = lambda x, kind, k=len(items): pa.array([x] * k, kind)
+                yield pa.RecordBatch.from_arrays([one(gid, pa.int64()), pa.array(items.view(np.int64)), one(cid, pa.int64()), one(label, pa.int64()), one(rest, pa.bool_()), pa.array(early)], names=["gid", "h", "cid", "label", "rest", "early"])
+
+    rare = scratch.keep(members.select("gid", "cid", "label", "rest", "text").mapInArrow(frees(run), "gid long, h long, cid long, label long, rest boolean, early boolean"), "rare")
+    heads = rare.groupBy("gid", "h").agg(F.min("cid").alias("head"), F.bool_or("rest").alias("r"), F.bool_or("early").alias("e"), (F.min("label") < F.max("label")).alias("l")).where("r and e and l").select("gid", "h", "head")
+    fine = connected_components(rare.join(heads, ["gid", "h"]).where("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b")), scratch)
+    scratch.drop(rare)
+    return fine.select(F.col("node").alias("cid"), F.col("label").alias("fine"))
+
+
+def _chunk(count: str, block_docs: int, block_shingles: int) -> Column:
+    """Number of blocks of a group, from its members and the sizes of their sets (column n)."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("n") / block_shingles)).alias(count)
+
+
+def _rest_blocks(ready: DataFrame, labels: DataFrame, percent: int, scratch: Scratch, block_docs: int, block_shingles: int) -> DataFrame | None:
+    """Blocks (block, cid, label, bands, sketch, text) in which what is outside its group's largest component meets all that it may be linked to; None if nothing is outside."""
+    large = scratch.keep(ready.where("chunks > 1").select("cid", "gid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid")), "large")
+    main = large.groupBy("gid", "label").count().groupBy("gid").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    marked = scratch.keep(large.join(main, "gid").select("gid", "cid", "label", (F.col("label") != F.col("main")).alias("rest")), "marked")
+    open_ = marked.where("rest").select("gid").distinct()
+    if open_.isEmpty():
+        return None
+    members = ready.drop("gid").join(marked.join(open_, "gid", "left_semi"), "cid").select("gid", "cid", "label", "rest", "n", "bands", "sketch", "text")
+    members = scratch.keep(members, "open")
+    fine = scratch.keep(_refined(members, percent, scratch), "fine")
+    members = members.drop("gid").join(fine, "cid")
+    sizes = scratch.keep(members.groupBy("fine").agg(_chunk("chunks", block_docs, block_shingles), F.ceil(F.count(F.when(F.col("rest"), 1)) / block_docs).alias("parts")), "sizes")
+    members = scratch.keep(members.join(sizes, "fine").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks"))).withColumn("part", F.pmod(F.xxhash64("cid", F.lit(7)), F.col("parts"))), "fine-members")
+    columns = ["cid", "label", "bands", "sketch", "text"]
+    name = F.concat_ws(":", "fine", "part", "chunk").alias("block")
+    small = members.where("chunks = 1").select(F.col("fine").cast("string").alias("block"), *columns)
+    many = members.where("chunks > 1")
+    every = lambda c, n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(c)
+    own = many.where("rest").select("fine", *columns, "part", every("chunk", "chunks")).select(name, *columns)
+    met = many.select("fine", *columns, "chunk", every("part", "parts")).select(name, *columns)
+    return small.unionByName(own).unionByName(met)
+
+
 def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, bands: int | None = None, rows: int | None = None, bits: int = SKETCH_BITS, margin: float = SKETCH_MARGIN, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> tuple[DataFrame, DataFrame]:
     """(signatures of the rows, (fp, label, component_id) of each class)."""
     fit = banding(percent)
@@ -195,9 +283,9 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     scratch.drop(member)
 
     grouped = coarse.select(F.col("node").alias("cid"), F.col("label").alias("gid")).join(classes, "cid")
-    sizes = grouped.groupBy("gid").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("n") / block_shingles)).alias("chunks"))
+    sizes = grouped.groupBy("gid").agg(_chunk("chunks", block_docs, block_shingles))
     # the text of one row of each class that has a candidate
-    wanted = grouped.join(sizes, "gid").select("cid", "gid", "chunks", "bands", "sketch", "fp", "rep", F.pmod(F.xxhash64("cid"), F.col("chunks")).alias("chunk"))
+    wanted = grouped.join(sizes, "gid").select("cid", "gid", "chunks", "n", "bands", "sketch", "fp", "rep", F.pmod(F.xxhash64("cid"), F.col("chunks")).alias("chunk"))
     wanted = scratch.keep(wanted, "wanted")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = marks.select("doc_id", "fp").where("fp is not null")
@@ -206,6 +294,7 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     # an id may stand on several rows, so the fingerprint of the text decides
     hit = texts.join(narrow, texts.doc_id.eqNullSafe(narrow.doc_id)).select("cid", "fp", F.col("text").cast("binary").alias("text"))
     ready = scratch.keep(_matching(hit).dropDuplicates(["cid"]).join(wanted.drop("fp", "rep"), "cid"), "ready")
+    scratch.drop(wanted)
 
     none = F.lit(None).cast("long")
     hub = ready.where("chunks > 1 and chunk = 0").withColumn("chunk", F.explode(F.sequence(F.lit(1).cast("long"), F.col("chunks") - 1)))
@@ -213,18 +302,8 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     blocks = first.select(F.concat_ws(":", F.col("gid").cast("string"), F.col("chunk").cast("string")).alias("block"), "cid", none.alias("label"), "bands", "sketch", "text")
     edges = scratch.keep(_block_edges(blocks, percent, bits, samples, margin), "links")
     labels = connected_components(edges, scratch)
-
-    large = scratch.keep(ready.where("chunks > 1").select("cid", "gid", "chunk", "chunks").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid")), "large")
-    main = large.groupBy("gid", "label").count().groupBy("gid").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    rest = large.join(main, "gid").where("label <> main").select("gid", "cid", "chunks")
-    rest = rest.join(rest.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / block_docs).alias("parts")), "gid").withColumn("part", F.pmod(F.xxhash64("cid", F.lit(7)), F.col("parts")))
-    rest = scratch.keep(rest, "rest")
-    if not rest.isEmpty():
-        tagged = ready.where("chunks > 1").join(large.select("cid", "label"), "cid").select("gid", "cid", "label", "bands", "sketch", "text", "chunk")
-        parts = rest.select("gid", "part").distinct()
-        name = F.concat_ws(":", "gid", "part", "chunk").alias("block")
-        own = tagged.drop("gid", "chunk").join(rest, "cid").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        pieces = own.select(name, "cid", "label", "bands", "sketch", "text").unionByName(tagged.join(parts, "gid").select(name, "cid", "label", "bands", "sketch", "text"))
+    pieces = _rest_blocks(ready, labels, percent, scratch, block_docs, block_shingles)
+    if pieces is not None:
         more = scratch.keep(_block_edges(pieces, percent, bits, samples, margin), "links")
         labels = connected_components(edges.unionByName(more), scratch)
 
@@ -232,7 +311,7 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     classed = scratch.keep(classed, "classed")
     smallest = classed.groupBy("label").agg(F.min("rep").alias("component_id"))
     ends = scratch.keep(classed.join(smallest, "label").select("fp", "label", "component_id"), "ends")
-    scratch.drop(ready, wanted, large)
+    scratch.drop(ready)
     return marks, ends
 
 
@@ -266,25 +345,33 @@ def _matching(hit: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that stand for their group, with their columns: one row that bears the component's id for each group of linked texts.
+    """The rows of docs that stand for their group, with their columns, whatever their names: one row that bears the component's id for each group of linked texts.
 
-    Rows without a word are in no group and stay. Rows are matched by their text, so repeated ids do no harm.
+    Rows without a word are in no group and stay. Rows are matched by their text, so repeated ids do no harm; of rows
+    that repeat both the component's id and a text of its group, one stays, whichever. A null id, repeated rows and an
+    empty table are treated as near_duplicates() says.
     """
     _, ends = _grouped(docs, id_col, text_col, **options)
+    rows, text_at = docs.select(whole_row(docs).alias("row"), F.col(id_col).alias("doc_id")), docs.columns.index(text_col)
 
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        hashes = word_hashes()
+        hashes, part, wordless = word_hashes(), TaskContext.get().partitionId(), 0
         for batch in batches:
-            sets = [shingle_set(t, hashes) for t in binary_texts(batch, text_col)]
-            fps = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.binary())], names=[*batch.schema.names, "_fp"])
-
-    rows = docs.mapInArrow(frees(run), T.StructType([*docs.schema.fields, T.StructField("_fp", T.BinaryType())]))
-    heads = ends.select(F.col("fp").alias("_fp"), F.col("label").alias("_label"), F.col("component_id").alias("_component"))
-    grouped = rows.where("_fp is not null").join(heads, "_fp").where(F.col(id_col).eqNullSafe(F.col("_component"))).dropDuplicates(["_label"])
-    return grouped.select(*docs.columns).unionByName(rows.where("_fp is null").select(*docs.columns))
+            keys, has = [], []
+            for t in batch.column("row").field(text_at).cast(pa.binary()).to_pylist():
+                items = shingle_set(t or b"", hashes)
+                has.append(len(items) > 0)
+                wordless += not len(items)  # a key of its own, so that such rows do not meet in one task
+                keys.append(xxhash.xxh3_128_digest(items.tobytes()) if len(items) else f"{part}:{wordless}".encode())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary()), pa.array(has)], names=[*batch.schema.names, "fp", "has"])
+
+    rows = rows.mapInArrow(frees(run), T.StructType([*rows.schema.fields, T.StructField("fp", T.BinaryType()), T.StructField("has", T.BooleanType())]))
+    stays = ~F.col("has") | F.col("doc_id").eqNullSafe(F.col("component_id"))
+    met = rows.join(ends, "fp", "left").where(stays).withColumn("alone", F.when(~F.col("has"), F.col("fp")))
+    return met.dropDuplicates(["label", "alone"]).select(*unpacked(docs))
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
