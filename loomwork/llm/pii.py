@@ -1,19 +1,26 @@
 """Personal data: exact patterns, and a skip-chain conditional random field that finds what they miss.
 
-The field's nodes are the tokens that hold a digit or an "@"; every other token is certainly outside an entity. Edges
-join neighbours in the text (the chain) and, over any distance in the document, consecutive occurrences of one token or
-of one long digit string (the skips), so an entity written twice gets the same label twice. Tokens inside a span of the
-exact patterns are observed with its label. Loopy message passing gives each other token its marginal; runs of tokens
-that are confidently of one kind become spans.
-
-The node and chain weights are trained on a bounded sample of documents, labelled by the exact patterns. All documents
-are searched.
+The field's nodes are the tokens that hold a digit, an "@" or what is written for one ("[at]"); every other token is
+certainly outside an entity. Edges join neighbours in the text (the chain) and, over any distance in the document,
+consecutive occurrences of one token, of one address however its signs are written, and of one number or of its last
+digits (the skips), so an entity that is written twice gets the same label twice. Tokens inside a span of the exact
+patterns are observed with its label. Loopy message passing gives each other token its marginal; runs of tokens that are
+confidently of one kind become spans. Besides the kinds of the exact patterns the field knows secrets: long mixed tokens
+that are assigned to a name such as "token" or "password", and what repeats them.
+
+Node, chain and skip weights are trained together by pseudo-likelihood on a bounded sample of documents. Labels come from
+the exact patterns and assigned secrets; since those see only what is written plainly, the sample's documents get further
+mentions of their entities in degraded form (no country code, spelled-out signs, other separators), labelled as the
+entity, and numbers of the same shape that belong to nothing. All documents are searched.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from bisect import bisect_right
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -22,12 +29,14 @@ from pyspark.sql import types as T
 
 from .common import frees, small_batches, table
 
-KINDS = ("email", "ip", "card", "phone")
-LABELS = ("", *KINDS)
+KINDS = ("email", "ip", "card", "phone")  #: The contract's, with exact patterns.
+FOUND = (*KINDS, "secret")  #: Those of added spans.
+LABELS = ("", *FOUND)
+SECRET = len(KINDS)
 TRAIN_DOCS = 2000  #: The model trains on the documents with a digit or "@" that have the smallest hashes, so many at most.
 TRAIN_TOKENS = 60_000  #: And on so many of their tokens at most.
 ROUNDS, DAMPING = 10, 0.5  #: Of message passing.
-SKIP_WEIGHT = 2.0  #: Log odds that a skip edge gives to equal labels.
+SKIP_WEIGHT = 2.0  #: Log odds that a skip edge gives to equal labels where no sample teaches them.
 CONFIDENT = 0.9  #: Least marginal of a token of an added span.
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -36,8 +45,12 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NO_DIGIT = re.compile(r"[^0-9]+")
-_SIGN = re.compile(r"[0-9@]")
+_SIGN = re.compile(r"[0-9@]|[\[(]at[\])]", re.I)
 _GAP = re.compile(r"\s")
+_ALPHA, _HEX = re.compile(r"[^\W\d_]"), re.compile(r"[0-9a-fA-F]{16,}")
+_AT, _DOT = re.compile(r"\s*[\[(]at[\])]\s*", re.I), re.compile(r"\s*[\[(](?:dot|\.)[\])]\s*", re.I)
+_NAMED = re.compile(r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth)[\w.-]*[\"']?\s*(?:=|:|is)\s*[\"'(]*\Z", re.I)
+_LETTER_AND_DIGIT = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9_/+=.~-]{16,}")
 
 
 def luhn(digits: str) -> bool:
@@ -65,7 +78,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             past = at + 1
         at = text.find("@", past)
     for m in _IP.finditer(text):
-        if all(len(p) < 4000 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(q := p.lstrip("0")) < 4 and int(q or "0") <= 255 for p in m[0].split(".")):
             out.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         digits = _NO_DIGIT.sub("", m[0])
@@ -97,12 +110,12 @@ def tokens(text: str) -> list[tuple[int, int]]:
     return out
 
 
-FEATURES = 64
+FEATURES = 80
 _SIZES = (1, 2, 3, 4, 5, 7, 8, 10, 11, 12, 14, 17, 20)
 
 
-def features(words: list[str], k: int, before: bool, after: bool) -> list[int]:
-    """Numbers of the features that hold for token k; before and after tell whether its neighbours adjoin it."""
+def features(words: list[str], k: int, before: bool, after: bool, named: bool = False) -> list[int]:
+    """Numbers of the features that hold for token k; before and after tell whether its neighbours adjoin it, named whether a name such as "token" stands before it."""
     w = words[k]
     digits = _NO_DIGIT.sub("", w)
     n = len(digits)
@@ -112,10 +125,7 @@ def features(words: list[str], k: int, before: bool, after: bool) -> list[int]:
     dots, dashes = w.count("."), w.count("-")
     out.append(17 + min(dots, 4))  # 17..21
     out.append(22 + min(dashes, 3))  # 22..25
-    if any(c.isalpha() for c in w[:200]):
-        out.append(26)
-    else:
-        out.append(27)
+    out.append(26 if _ALPHA.search(w) else 27)
     if w[0] == "+":
         out.append(28)
     if "(" in w or ")" in w:
@@ -124,7 +134,7 @@ def features(words: list[str], k: int, before: bool, after: bool) -> list[int]:
         out.append(30)
     if dots == 3 and len(w) < 16 and all(p.isdigit() and p.isascii() and int(p) < 256 for p in w.split(".")):
         out.append(31)
-    if 14 <= n <= 19 and n + dashes == len(w) and luhn(digits):
+    if 14 <= n <= 19 and luhn(digits):
         out.append(32)
     if n == len(w):
         out.append(33)
@@ -147,63 +157,176 @@ def features(words: list[str], k: int, before: bool, after: bool) -> list[int]:
             out.append(side + 7)
         if "(" in v or ")" in v:
             out.append(side + 8)
-        if any(c.isalpha() for c in v[:200]):
+        if _ALPHA.search(v):
             out.append(side + 9)
         if "-" in v:
             out.append(side + 10)
+    if _AT.search(w):
+        out.append(62)
+    if _HEX.fullmatch(w):
+        out.append(63)
+    if _LETTER_AND_DIGIT.fullmatch(w):
+        out.append(64)
+    if named:
+        out.append(65)
+    if n > 6 and re.search(r"[0-9][./][0-9]", w) and dots != 3:
+        out.append(66)
+    return out
+
+
+def _keys(w: str, digits: str) -> list[tuple]:
+    """What a token has in common with others that stand for the same thing."""
+    out = []
+    if len(digits) >= 4 or "@" in w:
+        out.append((0, w.lower()))
+    if len(digits) >= 7:
+        out.append((1, digits))
+        out.append((2, digits[-10:] if len(digits) > 10 else digits))
+    if "@" in w or _AT.search(w):
+        out.append((3, _DOT.sub(".", _AT.sub("@", w.lower()))))
+    if digits and w.count("[") + w.count("(") and "." in w:
+        out.append((3, _DOT.sub(".", w.lower())))
+    elif w.count(".") == 3:
+        out.append((3, w.lower()))
     return out
 
 
 def graph(text: str, spans: list[tuple[int, int, int]]):
-    """(places, active features of each token, observed label or -1 of each, chain edges, skip edges) of a text."""
+    """(places, active features of each token, observed label or -1 of each, chain edges, skip edges) of a text, in time in proportion to its length and its spans."""
     places = tokens(text)
     words = [text[a:b] for a, b in places]
     near = [i + 1 < len(places) and places[i + 1][0] - places[i][1] <= 2 for i in range(len(places))]
-    active = [features(words, k, k > 0 and near[k - 1], near[k]) for k in range(len(words))]
+    named = [len(w) > 15 and bool(_NAMED.search(text, max(0, places[k][0] - 40), places[k][0])) for k, w in enumerate(words)]
+    active = [features(words, k, k > 0 and near[k - 1], near[k], named[k]) for k in range(len(words))]
     observed = [-1] * len(words)
+    starts = [a for a, _ in places]
     for start, kind, end in sorted(spans, key=lambda s: -s[1]):
-        for k, (a, b) in enumerate(places):
-            if a < end and start < b:
+        k = max(bisect_right(starts, start) - 1, 0)
+        while k < len(places) and starts[k] < end:
+            if start < places[k][1]:
                 observed[k] = kind + 1
+            k += 1
     last: dict = {}
     skips = set()
+    digits = [_NO_DIGIT.sub("", w) for w in words]
     for k, w in enumerate(words):
-        digits = _NO_DIGIT.sub("", w)
-        for key in ((0, w.lower()), (1, digits)):
-            if len(digits) < 4 and "@" not in w or key[0] and len(digits) < 7:
-                continue
-            if key in last:
+        split = [(4, digits[k] + digits[k + 1])] if near[k] and len(digits[k]) == 3 and len(digits[k + 1]) == 7 else []
+        for key in _keys(w, digits[k]) + split:
+            if key in last and last[key] != k:
                 skips.add((last[key], k))
             last[key] = k
     return places, active, observed, [(k, k + 1) for k in range(len(words) - 1) if near[k]], sorted(skips)
 
 
-def train(active: list[list[int]], labels: np.ndarray, pairs: np.ndarray, steps: int = 300, decay: float = 1e-3):
-    """(node weights, chain potentials): multinomial logistic regression over features, and smoothed log odds of neighbouring labels."""
-    m = len(LABELS)
-    if not len(labels):
+def assigned_secrets(text: str, places) -> list[int]:
+    """Tokens with letters and digits that are assigned to a name such as "token": labels to train on."""
+    return [k for k, (a, b) in enumerate(places) if b - a > 15 and _LETTER_AND_DIGIT.fullmatch(text, a, b) and _NAMED.search(text, max(0, a - 40), a)]
+
+
+def degraded(kind: int, entity: str, rnd: random.Random) -> str | None:
+    """Another way to write an entity that its exact pattern does not match; None if there is none."""
+    if kind == 0:
+        at, dot = rnd.choice([("[at]", "[dot]"), ("(at)", "(dot)"), ("[at]", "."), ("(at)", ".")])
+        return entity.replace("@", at).replace(".", dot)
+    if kind == 1:
+        return entity.replace(".", rnd.choice(["[.]", "(.)"]))
+    if kind == 2:
+        digits = _NO_DIGIT.sub("", entity)
+        return rnd.choice([".", "/"]).join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    if kind == 3:
+        parts = entity.split(None, 1)
+        return parts[1] if len(parts) == 2 and len(_NO_DIGIT.sub("", parts[1])) >= 7 else None
+    return entity
+
+
+def training_graph(text: str, seed: int):
+    """graph() of a text with degraded mentions of its entities and unrelated numbers, a label for each token, and which tokens are no examples.
+
+    Tokens that repeat an entity outside one, and their neighbours, may be what the patterns miss: they are no examples.
+    """
+    rnd, base = random.Random(seed), base_spans(text)
+    more, forced = [], []
+    mentions = [(kind, text[a:b]) for a, kind, b in base]
+    mentions += [(SECRET, text[a:b]) for a, b in (places[k] for places in [tokens(text)] for k in assigned_secrets(text, places))]
+    for kind, entity in mentions[:50]:
+        if rnd.random() < 0.7 and (other := degraded(kind, entity, rnd)):
+            more.append((other, kind + 1))
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    shapes = [lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{digits(4)}.{digits(4)}.{digits(4)}.{digits(4)}", lambda: digits(16), lambda: f"{rnd.randrange(256)}[.]{digits(2)}", lambda: f"{digits(3)}-{digits(4)}", lambda: f"x[at]{digits(2)}"]
+    more += [(rnd.choice(shapes)(), 0) for _ in range(rnd.randrange(3))]
+    rnd.shuffle(more)
+    for other, label in more:
+        text += " so "
+        forced.append((len(text), len(text) + len(other), label))
+        text += other
+    places, active, observed, chain, skips = graph(text, base)
+    labels = [max(x, 0) for x in observed]
+    for k in assigned_secrets(text, places):
+        labels[k] = observed[k] = SECRET + 1
+    starts, free = [a for a, _ in places], set()
+    for a, b, label in forced:
+        k = bisect_right(starts, a)
+        k = max(k - 1, 0)
+        while k < len(places) and places[k][0] < b:
+            if places[k][1] > a:
+                labels[k] = label
+                free.add(k)
+            k += 1
+    open_ = {b for a, b in skips if observed[a] > 0 >= observed[b] and b not in free} | {a for a, b in skips if observed[b] > 0 >= observed[a] and a not in free}
+    open_ |= {b for a, b in chain if a in open_ and observed[b] < 0 and b not in free} | {a for a, b in chain if b in open_ and observed[a] < 0 and a not in free}
+    return active, labels, chain, skips, open_
+
+
+@dataclass
+class Field:
+    """Weights: of features by label, of neighbouring labels, and of equal labels at the ends of a skip edge."""
+
+    node: np.ndarray
+    chain: np.ndarray
+    skip: np.ndarray
+
+
+def train(active: list[list[int]], labels: np.ndarray, chain: np.ndarray, skips: np.ndarray, steps: int = 600, decay: float = 1e-4) -> Field:
+    """Node, chain and skip weights together, by gradient ascent on the pseudo-likelihood: each label given the features and the labels of its neighbours. Edges are pairs of token numbers."""
+    m, n = len(LABELS), len(labels)
+    if not n:
         w = np.zeros((FEATURES, m))
         w[0, 0] = 5.0
-        return w, np.zeros((m, m))
-    x = np.zeros((len(labels), FEATURES), np.float32)
+        return Field(w, np.zeros((m, m)), np.full(m, SKIP_WEIGHT))
+    x = np.zeros((n, FEATURES), np.float32)
     for i, fs in enumerate(active):
         x[i, fs] = 1
     y = np.eye(m, dtype=np.float32)[labels]
-    w, speed = np.zeros((FEATURES, m)), np.zeros((FEATURES, m))
+    left, right = chain.reshape(-1, 2).T
+    one, two = skips.reshape(-1, 2).T
+    gather = lambda at, rows: np.stack([np.bincount(at, rows[:, j], n) for j in range(m)], 1) if len(at) else np.zeros((n, m))
+    # for each token the labels before it, after it and at the other ends of its skips, counted
+    past, next_, far = gather(right, y[left]), gather(left, y[right]), gather(one, y[two]) + gather(two, y[one])
+    far = np.minimum(far, 2)  # of many occurrences two are enough, or what is repeated often would decide the weights
+    field = Field(np.zeros((FEATURES, m)), np.zeros((m, m)), np.zeros(m))
+    speed = [np.zeros_like(field.node), np.zeros_like(field.chain), np.zeros_like(field.skip)]
+    # rare labels weigh as much as all that is outside, up to a tenfold
+    often = np.bincount(labels, minlength=m)
+    weigh = np.minimum(10.0, often.max() / np.maximum(often, 1)) ** 0.5
+    weigh = (weigh[labels] / (weigh[labels].sum() / n))[:, None]
     for _ in range(steps):
-        z = x @ w
+        z = x @ field.node + past @ field.chain + next_ @ field.chain.T + far * field.skip
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        speed = 0.9 * speed - 0.5 * (x.T @ (p - y) / len(labels) + decay * w)
-        w = w + speed
-    c = np.full((m, m), 0.5)
-    if len(pairs):
-        np.add.at(c, (pairs[:, 0], pairs[:, 1]), 1)
-    odds = np.log(c * c.sum() / (c.sum(1, keepdims=True) * c.sum(0, keepdims=True)))
-    return w, np.clip(odds, -3, 3)
-
-
-def marginals(scores: np.ndarray, chain: np.ndarray, skips: np.ndarray, potentials: np.ndarray, skip_weight: float = SKIP_WEIGHT, rounds: int = ROUNDS, damping: float = DAMPING) -> np.ndarray:
+        error = (p - y) * weigh / n
+        slopes = (x.T @ error + decay * field.node, past.T @ error + error.T @ next_ + decay * field.chain, (far * error).sum(0) + decay * field.skip)
+        for v, slope in zip(speed, slopes, strict=True):
+            v *= 0.9
+            v -= 0.5 * slope
+        field.node += speed[0]
+        field.chain += speed[1]
+        field.skip += speed[2]
+    field.chain = np.clip(field.chain, -4, 4)
+    field.skip = np.clip(field.skip, 0, 8)
+    return field
+
+
+def marginals(scores: np.ndarray, chain: np.ndarray, skips: np.ndarray, potentials: np.ndarray, skip_weight: float | np.ndarray = SKIP_WEIGHT, rounds: int = ROUNDS, damping: float = DAMPING) -> np.ndarray:
     """Beliefs of all nodes after loopy sum-product message passing in log space; edges are pairs of node numbers."""
     n, m = scores.shape
     e = len(chain) + len(skips)
@@ -214,7 +337,7 @@ def marginals(scores: np.ndarray, chain: np.ndarray, skips: np.ndarray, potentia
     ends = np.concatenate([chain.reshape(-1, 2), skips.reshape(-1, 2)]).astype(np.int64)
     src, dst = np.concatenate([ends[:, 0], ends[:, 1]]), np.concatenate([ends[:, 1], ends[:, 0]])
     psi = np.empty((2 * e, m, m))
-    same = np.eye(m) * skip_weight
+    same = np.diag(np.broadcast_to(np.asarray(skip_weight, float), m))
     psi[: len(chain)], psi[len(chain) : e] = potentials, same
     psi[e : e + len(chain)], psi[e + len(chain) :] = potentials.T, same
     back = np.concatenate([np.arange(e, 2 * e), np.arange(e)])
@@ -232,21 +355,24 @@ def marginals(scores: np.ndarray, chain: np.ndarray, skips: np.ndarray, potentia
 
 
 def _plausible(kind: int, words: list[str]) -> bool:
-    """Whether an added span can be of its kind at all."""
+    """Whether an added span can be of its kind at all, however it is written."""
     whole = " ".join(words)
     n = len(_NO_DIGIT.sub("", whole))
     if kind == 0:
-        return len(words) == 1 and bool(re.search(r"[A-Za-z0-9]@[A-Za-z0-9]", whole))
-    if any(c.isalpha() for c in whole):
+        return len(words) == 1 and bool(re.search(r"[A-Za-z0-9]@[A-Za-z0-9]", _AT.sub("@", whole)))
+    if kind == SECRET:
+        return len(words) == 1 and len(whole) > 15 and bool(_LETTER_AND_DIGIT.fullmatch(whole))
+    if _ALPHA.search(whole):
         return False
     if kind == 1:
-        return len(words) == 1 and bool(re.fullmatch(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5}|/[0-9]{1,2})?", whole))
+        return len(words) == 1 and bool(re.fullmatch(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5}|/[0-9]{1,2})?", _DOT.sub(".", whole)))
     if kind == 2:
         return 14 <= n <= 19 and luhn(_NO_DIGIT.sub("", whole))
     return 7 <= n <= 15 and bool(re.search(r"[-+().\x20]", whole))
 
 
 def added_spans(text: str, places, observed, belief: np.ndarray, chain, confident: float = CONFIDENT) -> list[tuple[int, int, int]]:
+    """Spans of the tokens outside base spans that are confidently of one kind; of cards and phones, runs of neighbours."""
     best = belief.argmax(1)
     sure = (belief.max(1) >= confident) & (best > 0) & (np.array(observed) < 0)
     joined, out, k = {a for a, _ in chain}, [], 0
@@ -255,7 +381,7 @@ def added_spans(text: str, places, observed, belief: np.ndarray, chain, confiden
             k += 1
             continue
         j = k
-        while j in joined and j + 1 < len(places) and sure[j + 1] and best[j + 1] == best[k] and best[k] > 2:
+        while j in joined and j + 1 < len(places) and sure[j + 1] and best[j + 1] == best[k] and best[k] in (3, 4):
             j += 1
         if _plausible(int(best[k]) - 1, [text[a:b] for a, b in places[k : j + 1]]):
             out.append((places[k][0], int(best[k]) - 1, places[j][1]))
@@ -263,12 +389,31 @@ def added_spans(text: str, places, observed, belief: np.ndarray, chain, confiden
     return out
 
 
-def _sampled(docs: DataFrame, train_docs: int, train_tokens: int):
-    rows = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("h"), "text")
-    # the smallest hashes are found among hashes alone, so no task gathers texts; copies of a text count once
-    least = rows.select("h").orderBy("h").limit(20 * train_docs).distinct().orderBy("h").limit(train_docs).agg(F.max("h")).first()[0]
+def search(texts: list[str], field: Field, skips: bool = True) -> list[tuple[list, list]]:
+    """(base spans, added spans) of each text; without `skips` the field is but a chain."""
+    bases, graphs, starts, size = [base_spans(t) for t in texts], [], [], 0
+    scores, chains, far = [], [], []
+    for text, base in zip(texts, bases, strict=True):
+        g = graph(text, base) if "@" in text or _SIGN.search(text) else ([], [], [], [], [])
+        graphs.append(g), starts.append(size)
+        for fs, seen in zip(g[1], g[2], strict=True):
+            scores.append(field.node[fs].sum(0) if seen < 0 else np.where(np.arange(len(LABELS)) == seen, 0.0, -30.0))
+        chains += [(size + a, size + b) for a, b in g[3]]
+        far += [(size + a, size + b) for a, b in g[4]] if skips else []
+        size += len(g[0])
+    if not size:
+        return [(b, []) for b in bases]
+    belief = marginals(np.array(scores), np.array(chains, np.int64).reshape(-1, 2), np.array(far, np.int64).reshape(-1, 2), field.chain, field.skip)
+    return [(base, added_spans(t, g[0], g[2], belief[s : s + len(g[0])], g[3]) if g[0] else []) for t, base, g, s in zip(texts, bases, graphs, starts, strict=True)]
+
+
+def trained_field(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_tokens: int = TRAIN_TOKENS) -> Field:
+    """The field, trained on the rows of docs(text) with the smallest hashes; copies of a text count once."""
+    rows = docs.where(F.col("text").rlike(_SIGN_SQL)).select(F.xxhash64("text").alias("h"), "text")
+    # the smallest hashes are found among distinct hashes alone, so no task gathers texts and copies crowd nothing out
+    least = rows.select("h").distinct().orderBy("h").limit(train_docs).agg(F.max("h")).first()[0]
     if least is None:
-        return [], np.empty(0, np.int64), np.empty((0, 2), np.int64)
+        return train([], np.empty(0, np.int64), np.empty((0, 2), np.int64), np.empty((0, 2), np.int64))
     rows = rows.where(F.col("h") <= least).dropDuplicates(["h"])
 
     def run(batches):
@@ -276,63 +421,58 @@ def _sampled(docs: DataFrame, train_docs: int, train_tokens: int):
 
         for batch in batches:
             for h, text in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                places, active, observed, chain, skips = graph(text, base_spans(text))
-                # what repeats an entity outside one may be what the patterns miss: it and its neighbours are no examples
-                open_ = {b for a, b in skips if observed[a] >= 0 > observed[b]} | {a for a, b in skips if observed[b] >= 0 > observed[a]}
-                open_ |= {b for a, b in chain if a in open_ and observed[b] < 0} | {a for a, b in chain if b in open_ and observed[a] < 0}
-                after = {a for a, b in chain if b not in open_}
-                labels = [max(x, 0) for x in observed]
-                use = [k for k in range(len(places)) if k not in open_]
-                if use:
-                    following = [labels[k + 1] if k in after else -1 for k in use]
-                    yield pa.RecordBatch.from_arrays([pa.array([h] * len(use), pa.int64()), pa.array(use, pa.int32()), pa.array([active[k] for k in use], pa.list_(pa.int32())), pa.array([labels[k] for k in use], pa.int32()), pa.array(following, pa.int32())], names=["h", "k", "active", "label", "following"])
-
-    found = rows.mapInArrow(frees(run), "h long, k int, active array<int>, label int, following int").orderBy("h", "k", "label").limit(train_tokens).collect()
-    pairs = [(r["label"], r["following"]) for r in found if r["following"] >= 0]
-    return [r["active"] for r in found], np.array([r["label"] for r in found], np.int64), np.array(pairs, np.int64).reshape(-1, 2)
+                active, labels, chain, skips, open_ = training_graph(text, h)
+                n = min(len(active), train_tokens)
+                back = [[] for _ in range(n)]
+                for a, b in skips:
+                    if b < n:
+                        back[b].append(a)
+                follows = {b for _, b in chain}
+                if n:
+                    yield pa.RecordBatch.from_arrays([pa.array([h] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(active[:n], pa.list_(pa.int32())), pa.array([-1 if k in open_ else labels[k] for k in range(n)], pa.int32()), pa.array([k in follows for k in range(n)], pa.bool_()), pa.array(back, pa.list_(pa.int32()))], names=["h", "k", "active", "label", "follows", "back"])
+
+    found = rows.mapInArrow(frees(run), "h long, k int, active array<int>, label int, follows boolean, back array<int>").orderBy("h", "k").limit(train_tokens).collect()
+    at = {(r["h"], r["k"]): i for i, r in enumerate(x for x in found if x["label"] >= 0)}
+    active, labels, chain, skips = [], [], [], []
+    for r in found:
+        if (me := at.get((r["h"], r["k"]))) is None:
+            continue
+        active.append(r["active"]), labels.append(r["label"])
+        if r["follows"] and (r["h"], r["k"] - 1) in at:
+            chain.append((me - 1, me))
+        skips += [(at[r["h"], k], me) for k in r["back"] if (r["h"], k) in at]
+    return train(active, np.array(labels, np.int64), np.array(chain, np.int64).reshape(-1, 2), np.array(skips, np.int64).reshape(-1, 2))
+
+
+_SIGN_SQL = r"(?i)[0-9@]|[\[(]at[\])]"
+TEXTS_AT_ONCE = 500
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS, train_tokens: int = TRAIN_TOKENS) -> DataFrame:
-    """Per row: doc_id, n_email, n_ip, n_card, n_phone (spans of the exact patterns), base_sha256 and spans.
+    """Per row: doc_id, n_email, n_ip, n_card, n_phone (spans of the exact patterns), base_sha256, spans, n_added and n_spans (all).
 
     Spans are kind:start:end in code points, end exclusive, by start and then by kind as listed, joined by commas.
-    base_sha256 is the lowercase hex digest of the exact patterns' spans, spans has these and those that the field adds.
-    A null text is empty. Rows are searched one by one, so repeated rows get equal results; an empty table gives an empty
-    result. Documents without digits and "@" have no node and cost one look.
+    base_sha256 is the lowercase hex digest of the exact patterns' spans, spans has these and those that the field adds,
+    which may also be of the kind secret. Spans of different kinds may overlap. A null text is empty. Rows are searched
+    one by one, whole however long, so repeated rows get equal results; an empty table gives an empty result. Other
+    columns are ignored, whatever their names. Documents without digits and "@" have no node and cost one look.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    weights, potentials = train(*_sampled(rows, train_docs, train_tokens))
-    schema = T.StructType([rows.schema.fields[0], *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_added", T.LongType())])
-
-    def found(texts):
-        bases, graphs, starts, size = [base_spans(t) for t in texts], [], [], 0
-        scores, chains, skips = [], [], []
-        for text, base in zip(texts, bases, strict=True):
-            g = graph(text, base) if "@" in text or _SIGN.search(text) else ([], [], [], [], [])
-            graphs.append(g), starts.append(size)
-            for fs, seen in zip(g[1], g[2], strict=True):
-                s = weights[fs].sum(0) if seen < 0 else np.where(np.arange(len(LABELS)) == seen, 0.0, -30.0)
-                scores.append(s)
-            chains += [(size + a, size + b) for a, b in g[3]]
-            skips += [(size + a, size + b) for a, b in g[4]]
-            size += len(g[0])
-        if not size:
-            return [(b, []) for b in bases]
-        belief = marginals(np.array(scores), np.array(chains, np.int64).reshape(-1, 2), np.array(skips, np.int64).reshape(-1, 2), potentials)
-        return [(base, added_spans(t, g[0], g[2], belief[s : s + len(g[0])], g[3]) if g[0] else []) for t, base, g, s in zip(texts, bases, graphs, starts, strict=True)]
+    field = trained_field(rows, train_docs, train_tokens)
+    schema = T.StructType([rows.schema.fields[0], *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_added", T.LongType()), T.StructField("n_spans", T.LongType())])
 
     def run(batches):
         import pyarrow as pa
 
-        said = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        said = lambda spans: ",".join(f"{FOUND[k]}:{a}:{b}" for a, k, b in sorted(spans))
         for batch in batches:
             texts, out = [t or "" for t in batch.column("text").to_pylist()], []
-            for i in range(0, len(texts), 500):
-                out += found(texts[i : i + 500])
+            for i in range(0, len(texts), TEXTS_AT_ONCE):
+                out += search(texts[i : i + TEXTS_AT_ONCE], field)
             counts = [pa.array([sum(s[1] == k for s in base) for base, _ in out], pa.int64()) for k in range(len(KINDS))]
             digests = [hashlib.sha256(said(base).encode()).hexdigest() for base, _ in out]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, pa.array(digests, pa.string()), pa.array([said(base + more) for base, more in out], pa.string()), pa.array([len(more) for _, more in out], pa.int64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, pa.array(digests, pa.string()), pa.array([said(base + more) for base, more in out], pa.string()), pa.array([len(more) for _, more in out], pa.int64()), pa.array([len(base) + len(more) for base, more in out], pa.int64())], names=schema.names)
 
     return rows.mapInArrow(frees(run), schema)
 
