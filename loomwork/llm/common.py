@@ -55,12 +55,13 @@ def unpacked(df: DataFrame, row: str = "row", **other) -> list[F.Column]:
 class Scratch:
     """Tables of one operator run, written to the shared folder so that lineage ends there and a lost executor costs no recomputation.
 
-    Tables that nothing reads any more go with drop(); the rest goes when the driver ends.
+    Tables that nothing reads any more go with drop() or only(); the rest goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         small_batches(spark)
         self.spark, self.root, self.made = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
+        self.kept: dict[str, DataFrame] = {}
         atexit.register(self.drop)
 
     def path(self, name: str) -> str:
@@ -72,9 +73,18 @@ class Scratch:
         df.write.parquet(path := self.path(name))
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.kept[path] = out
         return out
 
+    def only(self, *tables: DataFrame) -> None:
+        """Drops all tables but these, which a lazy result still reads."""
+        paths = {t._scratch_path for t in tables}
+        if gone := [t for path, t in self.kept.items() if path not in paths]:
+            self.drop(*gone)
+
     def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            self.kept.pop(t._scratch_path, None)
         try:
             jvm = self.spark.sparkContext._jvm
             for p in [t._scratch_path for t in tables] or [self.root]:

@@ -160,6 +160,7 @@ def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
     shard = F.pmod(number_of(F.substring("place", 1, 8)), F.col("shards")).alias("shard")
     shards = scratch.keep(narrow.join(named, _KEY).select("source", shard, "size").groupBy("source", "shard").agg(F.sum("size").alias("words")), "shards")
     quotas = scratch.keep(_cuts(scratch.keep(shard_quotas(shards, sources.select("source", "target"), limit, block_words), "quotas"), seed, block_words), "cuts")
+    scratch.only(sources, quotas, *([] if whole else [narrow]))
     quotas = beside(_keyed(quotas).drop("source"), 4_000_000 // max(1, shard_words // block_words))  # four million numbers at most
 
     # a document without words is never taken

@@ -311,7 +311,7 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     classed = scratch.keep(classed, "classed")
     smallest = classed.groupBy("label").agg(F.min("rep").alias("component_id"))
     ends = scratch.keep(classed.join(smallest, "label").select("fp", "label", "component_id"), "ends")
-    scratch.drop(ready)
+    scratch.only(marks, ends)
     return marks, ends
 
 

@@ -327,8 +327,9 @@ def _judged(docs: DataFrame, text_col: str, lang_col: str, keep: list[str], orde
     of = {c: F.col("row")[c_] if len(at) == 2 else F.col(at[0]) for c, c_, at in (("text", text_col, text), ("lang", lang_col, lang))}
     measured = measured.select("row", *RULE_COLUMNS, "n_grams", F.try_divide("nll", "n_words").alias("log_ppl"), of["lang"].cast("string").alias("lang"), F.xxhash64(of["text"]).alias("text_key"))
     scored = scratch.keep(measured, "scored")
-    scratch.drop(model)
-    limits = beside(scratch.keep(bands(scored, low_width, high_width).withColumnRenamed("lang", "band_lang"), "bands"))  # one row for each language
+    limits = scratch.keep(bands(scored, low_width, high_width).withColumnRenamed("lang", "band_lang"), "bands")
+    scratch.only(scored, limits)
+    limits = beside(limits)  # one row for each language
     out = scored.join(limits, F.col("lang").eqNullSafe(F.col("band_lang")), "left")
     failed = base_failed()
     fits = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(False))

@@ -76,13 +76,14 @@ def encoder(path: str):
     known: dict[str, bytes] = {}
 
     def learn(pieces: list[str]) -> None:
-        """Remembers the ids that the pieces have after a space."""
+        """Remembers the ids that the pieces have after a space. Where the tokens that begin with a space are not those that begin a piece, each piece is encoded apart."""
         for i in range(0, len(pieces), WORDS_AT_ONCE):
             part = pieces[i : i + WORDS_AT_ONCE]
             got = ids([" " + " ".join(part)])[0]
             at = np.flatnonzero(opens[got])
             if len(at) != len(part):
-                raise RuntimeError(f"{len(part)} pieces gave {len(at)} beginnings")
+                known.update(zip(part, [x.tobytes() for x in ids([" " + p for p in part])], strict=True))
+                continue
             raw, cuts = got.tobytes(), (np.append(at, len(got)) * width).tolist()
             known.update(zip(part, [raw[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], strict=True))
 
@@ -140,15 +141,16 @@ def _files(folder: str):
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, part_chars: int = PART_CHARS) -> list[dict]:
-    """Encodes all texts, ends each with end_id, and writes them in ascending order of ids. Returns the manifest: a dict for each part, with its base.
+    """Encodes all texts, ends each with end_id, and writes them in ascending order of ids. Returns the manifest: a dict for each part, with its base; it is also written to the folder, as manifest.json.
 
-    A null text is empty. Null ids come first; rows of one id are ordered by their text, and equal rows are written as
-    often as they stand. An empty table gives no part. Other columns are not written.
+    A null text is empty. Ids are 64-bit integers; what can't be cast to one counts as null. Null ids come first; rows of
+    one id are ordered by their text, and equal rows are written as often as they stand. Texts of any length are encoded
+    whole. An empty table gives no part. Other columns are not written, whatever their names.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     held = rows.agg(F.sum(F.octet_length("text") + 64).alias("n")).first()["n"]
     if not held:
-        return []
+        return _manifest(folder, [])
     parts = max(1, -(-int(held) // part_chars))
     # ordered by id, then by a hash of the text, so that rows of one id can be dealt to several parts
     ordered = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text")
@@ -184,9 +186,28 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str
     for r in sorted(made, key=lambda r: r["part"]):
         manifest.append(r.asDict() | {"base": base})
         base += r["n_tokens"]
+    return _manifest(folder, manifest)
+
+
+def _manifest(folder: str, manifest: list[dict]) -> list[dict]:
+    import json
+
+    fs, root = _files(folder)
+    fs.create_dir(root, recursive=True)
+    with fs.open_output_stream(f"{root}/manifest.json") as f:
+        f.write(json.dumps(manifest).encode())
     return manifest
 
 
+def open_manifest(folder: str) -> list[dict]:
+    """The manifest that write_token_files left in a folder."""
+    import json
+
+    fs, root = _files(folder)
+    with fs.open_input_file(f"{root}/manifest.json") as f:
+        return json.loads(f.read())
+
+
 def _gathered(batches):
     """Batches, joined until they hold enough text."""
     import pyarrow as pa

@@ -60,8 +60,9 @@ def judged(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     best = hits.groupBy("url").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), F.col("verdict") == "block", "rule")).alias("best"))
 
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
-    out = rows.join(best, "url", "left")
-    return out.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    out = rows.where("url is not null").join(best, "url", "left")
+    none = rows.where("url is null").withColumn("best", F.lit(None).cast(best.schema["best"].dataType))  # apart, or they would all meet in one task
+    return out.unionByName(none).select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
