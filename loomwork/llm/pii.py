@@ -326,30 +326,38 @@ def train(active: list[list[int]], labels: np.ndarray, chain: np.ndarray, skips:
     return field
 
 
+EDGES_AT_ONCE = 20_000  #: Whose messages are computed at once: their pairs of labels take 6 MB.
+
+
 def marginals(scores: np.ndarray, chain: np.ndarray, skips: np.ndarray, potentials: np.ndarray, skip_weight: float | np.ndarray = SKIP_WEIGHT, rounds: int = ROUNDS, damping: float = DAMPING) -> np.ndarray:
-    """Beliefs of all nodes after loopy sum-product message passing in log space; edges are pairs of node numbers."""
+    """Beliefs of all nodes after loopy sum-product message passing in log space; edges are pairs of node numbers. Only the messages are held for all edges at once."""
     n, m = scores.shape
-    e = len(chain) + len(skips)
-    if not e:
-        z = scores - scores.max(1, keepdims=True)
-        p = np.exp(z)
-        return p / p.sum(1, keepdims=True)
-    ends = np.concatenate([chain.reshape(-1, 2), skips.reshape(-1, 2)]).astype(np.int64)
-    src, dst = np.concatenate([ends[:, 0], ends[:, 1]]), np.concatenate([ends[:, 1], ends[:, 0]])
-    psi = np.empty((2 * e, m, m))
-    same = np.diag(np.broadcast_to(np.asarray(skip_weight, float), m))
-    psi[: len(chain)], psi[len(chain) : e] = potentials, same
-    psi[e : e + len(chain)], psi[e + len(chain) :] = potentials.T, same
-    back = np.concatenate([np.arange(e, 2 * e), np.arange(e)])
-    msg = np.zeros((2 * e, m))
+    chain, skips = np.asarray(chain, np.int64).reshape(-1, 2), np.asarray(skips, np.int64).reshape(-1, 2)
+    # messages along and against the edges, of the chain and of the skips
+    groups = [(chain[:, 0], chain[:, 1], potentials), (chain[:, 1], chain[:, 0], potentials.T), (skips[:, 0], skips[:, 1], None), (skips[:, 1], skips[:, 0], None)]
+    again = np.expm1(np.broadcast_to(np.asarray(skip_weight, float), m))
+    sent = [np.zeros((len(src), m)) for src, _, _ in groups]
     belief = scores
-    for _ in range(rounds):
-        z = (belief[src] - msg[back])[:, :, None] + psi
-        top = z.max(1, keepdims=True)
-        new = np.log(np.exp(z - top).sum(1)) + top[:, 0]
-        new -= new.max(1, keepdims=True)
-        msg = damping * msg + (1 - damping) * new
-        belief = scores + np.stack([np.bincount(dst, msg[:, j], n) for j in range(m)], 1)
+    for _ in range(rounds if len(chain) + len(skips) else 0):
+        new = []
+        for k, (src, _, psi) in enumerate(groups):
+            out, back = np.empty_like(sent[k]), sent[k ^ 1]
+            for i in range(0, len(src), EDGES_AT_ONCE):
+                part = slice(i, i + EDGES_AT_ONCE)
+                a = belief[src[part]] - back[part]
+                a -= a.max(1, keepdims=True)
+                if psi is None:  # equal labels count more, all others alike
+                    e = np.exp(a)
+                    got = np.log(e.sum(1, keepdims=True) + again * e)
+                else:
+                    got = np.log(np.exp(a) @ np.exp(psi))
+                out[part] = got - got.max(1, keepdims=True)
+            new.append(damping * sent[k] + (1 - damping) * out)
+        sent = new
+        belief = scores.copy()
+        for (_, dst, _), msg in zip(groups, sent, strict=True):
+            for j in range(m) if len(dst) else ():
+                belief[:, j] += np.bincount(dst, msg[:, j], n)
     p = np.exp(belief - belief.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
 
@@ -390,21 +398,37 @@ def added_spans(text: str, places, observed, belief: np.ndarray, chain, confiden
 
 
 def search(texts: list[str], field: Field, skips: bool = True) -> list[tuple[list, list]]:
-    """(base spans, added spans) of each text; without `skips` the field is but a chain."""
-    bases, graphs, starts, size = [base_spans(t) for t in texts], [], [], 0
-    scores, chains, far = [], [], []
-    for text, base in zip(texts, bases, strict=True):
-        g = graph(text, base) if "@" in text or _SIGN.search(text) else ([], [], [], [], [])
-        graphs.append(g), starts.append(size)
-        for fs, seen in zip(g[1], g[2], strict=True):
-            scores.append(field.node[fs].sum(0) if seen < 0 else np.where(np.arange(len(LABELS)) == seen, 0.0, -30.0))
-        chains += [(size + a, size + b) for a, b in g[3]]
-        far += [(size + a, size + b) for a, b in g[4]] if skips else []
+    """(base spans, added spans) of each text; without `skips` the field is but a chain. Graphs of several texts are solved together until they have enough nodes."""
+    out, waiting, size = [], [], 0
+    for i, text in enumerate(texts):
+        base = base_spans(text)
+        out.append((base, []))
+        if not _SIGN.search(text):
+            continue
+        g = graph(text, base)
+        waiting.append((i, g))
         size += len(g[0])
-    if not size:
-        return [(b, []) for b in bases]
-    belief = marginals(np.array(scores), np.array(chains, np.int64).reshape(-1, 2), np.array(far, np.int64).reshape(-1, 2), field.chain, field.skip)
-    return [(base, added_spans(t, g[0], g[2], belief[s : s + len(g[0])], g[3]) if g[0] else []) for t, base, g, s in zip(texts, bases, graphs, starts, strict=True)]
+        if size >= NODES_AT_ONCE:
+            _solve(texts, waiting, out, field, skips)
+            waiting, size = [], 0
+    if size:
+        _solve(texts, waiting, out, field, skips)
+    return out
+
+
+def _solve(texts, waiting, out, field: Field, skips: bool) -> None:
+    """Puts the added spans of the waiting graphs into out."""
+    scores, chains, far, starts = [], [], [], [0]
+    for _, (places, active, observed, chain, skip) in waiting:
+        at = starts[-1]
+        for fs, seen in zip(active, observed, strict=True):
+            scores.append(field.node[fs].sum(0) if seen < 0 else np.where(np.arange(len(LABELS)) == seen, 0.0, -30.0))
+        chains += [(at + a, at + b) for a, b in chain]
+        far += [(at + a, at + b) for a, b in skip] if skips else []
+        starts.append(at + len(places))
+    belief = marginals(np.array(scores), np.array(chains, np.int64), np.array(far, np.int64), field.chain, field.skip)
+    for (i, (places, _, observed, chain, _)), start in zip(waiting, starts, strict=False):
+        out[i][1].extend(added_spans(texts[i], places, observed, belief[start : start + len(places)], chain))
 
 
 def trained_field(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_tokens: int = TRAIN_TOKENS) -> Field:
@@ -445,7 +469,7 @@ def trained_field(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_tokens: i
 
 
 _SIGN_SQL = r"(?i)[0-9@]|[\[(]at[\])]"
-TEXTS_AT_ONCE = 500
+NODES_AT_ONCE = 5_000
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS, train_tokens: int = TRAIN_TOKENS) -> DataFrame:
@@ -467,9 +491,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         said = lambda spans: ",".join(f"{FOUND[k]}:{a}:{b}" for a, k, b in sorted(spans))
         for batch in batches:
-            texts, out = [t or "" for t in batch.column("text").to_pylist()], []
-            for i in range(0, len(texts), TEXTS_AT_ONCE):
-                out += search(texts[i : i + TEXTS_AT_ONCE], field)
+            out = search([t or "" for t in batch.column("text").to_pylist()], field)
             counts = [pa.array([sum(s[1] == k for s in base) for base, _ in out], pa.int64()) for k in range(len(KINDS))]
             digests = [hashlib.sha256(said(base).encode()).hexdigest() for base, _ in out]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, pa.array(digests, pa.string()), pa.array([said(base + more) for base, more in out], pa.string()), pa.array([len(more) for _, more in out], pa.int64()), pa.array([len(base) + len(more) for base, more in out], pa.int64())], names=schema.names)
