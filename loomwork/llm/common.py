@@ -35,8 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lets Spark hand Python workers at most 1,000 rows and 16 MB at once, so that tasks with long texts keep their memory. It holds for the session from now on, unless its batches are smaller already."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+    """Lets Spark hand Python workers at most 1,000 rows and 4 MB at once (or one longer row), so that tasks with long texts keep their memory, inside and outside the JVM's heap. Spark reads these settings when a result is computed, so they can't be set back here: they hold for the session from now on, unless its batches are smaller already."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
         now = int(re.sub(r"[^0-9-]", "", spark.conf.get(key)) or 0)
         if now <= 0 or now > most:
             spark.conf.set(key, str(most))
