@@ -369,9 +369,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary()), pa.array(has)], names=[*batch.schema.names, "fp", "has"])
 
     rows = rows.mapInArrow(frees(run), T.StructType([*rows.schema.fields, T.StructField("fp", T.BinaryType()), T.StructField("has", T.BooleanType())]))
-    stays = ~F.col("has") | F.col("doc_id").eqNullSafe(F.col("component_id"))
-    met = rows.join(ends, "fp", "left").where(stays).withColumn("alone", F.when(~F.col("has"), F.col("fp")))
-    return met.dropDuplicates(["label", "alone"]).select(*unpacked(docs))
+    # by text and id, so that copies of one text do not meet in one task
+    heads = ends.select(F.col("fp").alias("head"), "label", "component_id")
+    met = rows.join(heads, (rows.fp == heads["head"]) & rows.doc_id.eqNullSafe(heads.component_id), "left").where(~F.col("has") | F.col("label").isNotNull())
+    return met.withColumn("alone", F.when(~F.col("has"), F.col("fp"))).dropDuplicates(["label", "alone"]).select(*unpacked(docs))
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
