@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from .common import Scratch, beside, frees, mix64, table, unpacked, whole_row
 
 ORDER = 5
-BROADCAST_ENTRIES = 4_000_000  #: 16 bytes each: 64 MB in each worker at most.
+BROADCAST_ENTRIES = 4_000_000  #: 12 bytes each, 16 with both halves: 64 MB in each worker at most.
 #: Interquartile ranges below the first and above the third quartile where the bands end. Checked against labels (see the
 #: README): above, 4 takes nearly all texts labelled bad and few others; below, labels do not separate, so 5 takes only the utmost.
 LOW_WIDTH, HIGH_WIDTH = 5.0, 4.0
@@ -309,7 +309,7 @@ def _judged(docs: DataFrame, text_col: str, lang_col: str, keep: list[str], orde
     text_lang = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     counts = scratch.keep(ngram_counts(text_lang, order, held_out), "counts")
     model = scratch.keep(kneser_ney(counts, order, scratch), "model")
-    entries = model.count()
+    entries, sides = model.count(), [f"logp{s}" for s in SIDES[: 1 + held_out]]
     columns, where = [(whole_row(docs.select(*keep)) if keep else F.struct(F.lit(0).alias("none"))).alias("row")], []
     for c, name in ((text_col, "text"), (lang_col, "lang")):  # a text that is kept is not sent twice
         if c in keep:
@@ -319,8 +319,8 @@ def _judged(docs: DataFrame, text_col: str, lang_col: str, keep: list[str], orde
             where.append((name,))
     rows, (text, lang) = docs.select(*columns), where
     if entries <= broadcast_entries:
-        got = model.toArrow()
-        arrays = hash_arrays(got.column("h").to_numpy().view(np.uint64), *[got.column(f"logp{s}").to_numpy() for s in SIDES])
+        got = model.select("h", *sides).toArrow()
+        arrays = hash_arrays(got.column("h").to_numpy().view(np.uint64), *[got.column(c).to_numpy() for c in sides])
         measured = _measured(rows, order, spark.sparkContext.broadcast(arrays), text, lang, held_out)
     else:
         measured = _joined_nll(rows, order, model, scratch, text, lang, held_out)
