@@ -28,7 +28,7 @@ MAGIC = b"TOKIDX01"
 END_ID = 2
 PART_CHARS = 16_000_000  #: About so many bytes of UTF-8 text go into one part.
 NULL_ID = -(2**63)
-TEXTS_AT_ONCE = 8_000_000  #: About so many bytes of text are encoded at once: pieces that occur again among them cost nothing.
+TEXTS_AT_ONCE = 16_000_000  #: About so many bytes of text are encoded at once: pieces that occur again among them cost nothing.
 
 
 #: White space of any kind, for RE2; and such at an end of a text or beside a space.
