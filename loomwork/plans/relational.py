@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from ..catalog import query
@@ -16,6 +18,16 @@ def line_amount():
     return F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount")).cast("decimal(6,2)")
 
 
+def line_units():
+    """The same amount in ten-thousandths, as a whole number: prices and discounts have two places."""
+    return F.round(F.col("l_extendedprice") * 100).cast("long") * F.round((1 - F.col("l_discount")) * 100).cast("long")
+
+
+def from_units(units):
+    """The sum of sums of line_units() as a double. Whole numbers are summed for one order or one part, decimals beyond, which cannot overflow."""
+    return (F.sum(F.col(units).cast("decimal(20,0)")) * F.lit(Decimal("0.0001"))).cast("double")
+
+
 def revenue():
     return F.sum(line_amount()).cast("double")
 
@@ -28,8 +40,8 @@ def revenue():
 def revenue_by_month(spark, sf):
     o = load(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"))
     # lines are summed by order first, so the join carries one row for each order
-    lines = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum(line_amount()).alias("amount"))
-    return o.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("month").agg(F.sum("amount").cast("double").alias("revenue"), F.count(F.lit(1)).alias("orders"))
+    lines = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum(line_units()).alias("amount"))
+    return o.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("month").agg(from_units("amount").alias("revenue"), F.count(F.lit(1)).alias("orders"))
 
 
 @query(
@@ -39,8 +51,8 @@ def revenue_by_month(spark, sf):
 )
 def aov_kpis(spark, sf):
     paid = load(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_orderkey")
-    t = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum(line_amount()).alias("line")).join(paid, F.col("o_orderkey") == F.col("l_orderkey"))
-    return t.agg(F.sum("line").cast("double").alias("revenue"), F.count("line").alias("paid_orders")).withColumn("aov", F.round(F.try_divide("revenue", "paid_orders"), 2))
+    t = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum(line_units()).alias("line")).join(paid, F.col("o_orderkey") == F.col("l_orderkey"))
+    return t.agg(from_units("line").alias("revenue"), F.count("line").alias("paid_orders")).withColumn("aov", F.round(F.try_divide("revenue", "paid_orders"), 2))
 
 
 @query(
@@ -62,9 +74,9 @@ def revenue_by_segment_ranked(spark, sf):
     GROUP BY p_partkey, p_name ORDER BY units DESC, p_partkey LIMIT 10""",
 )
 def top_parts_by_units(spark, sf):
-    by = load(spark, sf, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").cast("long").alias("units"), revenue().alias("revenue"))
+    by = load(spark, sf, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").cast("long").alias("units"), F.sum(line_units().cast("decimal(18,0)")).alias("amount"))
     p = load(spark, sf, "part").select("p_partkey", "p_name")
-    return by.join(p, F.col("l_partkey") == F.col("p_partkey")).orderBy(F.desc("units"), "p_partkey").limit(10).select("p_partkey", "p_name", "units", "revenue")
+    return by.join(p, F.col("l_partkey") == F.col("p_partkey")).orderBy(F.desc("units"), "p_partkey").limit(10).select("p_partkey", "p_name", "units", (F.col("amount") * F.lit(Decimal("0.0001"))).cast("double").alias("revenue"))
 
 
 @query(
