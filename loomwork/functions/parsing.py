@@ -22,8 +22,8 @@ DATE_LAYOUTS = (
 
 
 def trimmed(c: Column) -> Column:
-    """Without white space of any kind at both ends."""
-    return F.regexp_replace(c.cast("string"), r"\A\s+|\s+\z", "")
+    """Without ASCII white space at both ends."""
+    return F.btrim(c.cast("string"), F.lit(" \t\n\x0b\f\r"))
 
 
 def is_nullish(c: Column) -> Column:

@@ -115,21 +115,53 @@ def load_spec(text: str) -> list[Rule]:
         raise SpecError(str(e)) from e
 
 
-def _finding(r: Rule) -> Column:
+class _Cells:
+    """Forms of cells that rules ask for: each is computed once, in a projection below all rules, however many ask."""
+
+    MAKE = {"empty": is_nullish, "number": as_number, "time": as_datetime}
+
+    def __init__(self):
+        self.asked: dict[tuple[str, str], str] = {}
+
+    def of(self, form: str, column: str) -> Column:
+        return F.col(self.asked.setdefault((form, column), f"_gate{len(self.asked)}_{form}"))
+
+    def text(self, column: str) -> Column:
+        return self.of("text", column)
+
+    def empty(self, column: str) -> Column:
+        return self.of("empty", column)
+
+    def number(self, column: str) -> Column:
+        return self.of("number", column)
+
+    def time(self, column: str) -> Column:
+        return self.of("time", column)
+
+    def added(self, df: DataFrame) -> DataFrame:
+        """df with the forms asked for; those of the trimmed text stand above it, so that a cell is trimmed once."""
+        columns = {c for _, c in self.asked}
+        texts = {c: self.asked.get(("text", c)) or f"_gate_text{i}" for i, c in enumerate(sorted(columns))}
+        df = df.withColumns({name: trimmed(F.col(c)) for c, name in texts.items()}) if texts else df
+        others = {name: self.MAKE[form](F.col(texts[c])) for (form, c), name in self.asked.items() if form != "text"}
+        return df.withColumns(others) if others else df
+
+
+def _finding(r: Rule, cells: _Cells) -> Column:
     """The detail of a row rule's violation, null if the row is fine."""
-    o, c = r.options, [F.col(x) for x in r.columns]
-    first = c[0]
+    o, name = r.options, r.columns[0]
+    first = F.col(name)
     if r.kind == "not_null":
-        return F.when(is_nullish(first), "empty")
+        return F.when(cells.empty(name), "empty")
     if r.kind == "no_padding":
-        return F.when(first.isNotNull() & (first != trimmed(first)), "padded")
-    some = ~is_nullish(first)
+        return F.when(first.isNotNull() & (first != cells.text(name)), "padded")
+    some = ~cells.empty(name)
     if r.kind == "in_set":
         norm = (lambda x: x) if o.get("case_sensitive") else F.lower
         allowed = [a if o.get("case_sensitive") else a.lower() for a in o["allowed"]]
-        return F.when(some & ~norm(trimmed(first)).isin(*allowed), "not an allowed value")
+        return F.when(some & ~norm(cells.text(name)).isin(*allowed), "not an allowed value")
     if r.kind == "range":
-        n = as_number(first)
+        n = cells.number(name)
         out = F.when(some & n.isNull(), "not a number")
         if o.get("min") is not None:
             out = out.when(n < o["min"], f"below {o['min']:g}")
@@ -137,23 +169,25 @@ def _finding(r: Rule) -> Column:
             out = out.when(n > o["max"], f"above {o['max']:g}")
         return out
     if r.kind == "matches":
-        return F.when(some & ~full_match(trimmed(first), o["pattern"]), "does not match")
+        return F.when(some & ~full_match(cells.text(name), o["pattern"]), "does not match")
     if r.kind == "is_type":
         kind = o["type"]
         if kind == "string":
             return F.lit(None).cast("string")
-        n = as_number(first)
-        ok = n.isNotNull() & (n == F.floor(n)) if kind in ("int", "integer") else n.isNotNull() if kind in ("float", "number") else as_datetime(first).isNotNull()
+        if kind in ("int", "integer"):
+            ok = cells.number(name).isNotNull() & (cells.number(name) == F.floor(cells.number(name)))
+        else:
+            ok = (cells.number(name) if kind in ("float", "number") else cells.time(name)).isNotNull()
         return F.when(some & ~F.coalesce(ok, F.lit(False)), f"not {kind}")
-    op, mode = OPS[o.get("op", "<")], o.get("as", "auto")
-    both, second = some & ~is_nullish(c[1]), c[1]
+    op, mode, other = OPS[o.get("op", "<")], o.get("as", "auto"), r.columns[1]
+    both = some & ~cells.empty(other)
     fits = []
     if mode in ("auto", "number"):
-        fits.append((as_number(first), as_number(second)))
+        fits.append((cells.number(name), cells.number(other)))
     if mode in ("auto", "date", "datetime"):
-        fits.append((as_datetime(first), as_datetime(second)))
+        fits.append((cells.time(name), cells.time(other)))
     if mode == "string":
-        fits.append((first, second))
+        fits.append((first, F.col(other)))
     verdict = F.lit(None).cast("string")
     for a, b in reversed(fits):
         verdict = F.when(a.isNotNull() & b.isNotNull(), F.when(op(a, b), "").otherwise(f"expected {r.columns[0]} {o.get('op', '<')} {r.columns[1]}")).otherwise(verdict)
@@ -175,8 +209,9 @@ def violations(df: DataFrame, rules: list[Rule], row_id: str = "row_id", refs: d
     say = lambda r, rid, value, detail: [F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), rid.cast("long").alias("row_id"), value.alias("value"), detail.alias("detail")]
     out = []
     if by_row := [r for r in rules if r.kind in ROW_KINDS]:
-        found = F.array(*[F.struct(*say(r, F.col(row_id), cells(r), _finding(r))) for r in by_row])
-        out.append(full.select(F.inline(F.filter(found, lambda v: v["detail"].isNotNull()))))
+        forms = _Cells()
+        found = F.array(*[F.struct(*say(r, F.col(row_id), cells(r), _finding(r, forms))) for r in by_row])
+        out.append(forms.added(full).select(F.inline(F.filter(found, lambda v: v["detail"].isNotNull()))))
     for r in rules:
         if r.kind == "unique":
             keyed = full.select(F.col(row_id).alias("_r"), *[F.coalesce(trimmed(F.col(c)), F.lit("")).alias(f"_k{i}") for i, c in enumerate(r.columns)])
