@@ -36,7 +36,7 @@ _SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\
 _UNEVEN = rf"(?:\A{_SPACE}|{_SPACE}\z| {_SPACE}|{_SPACE} )"
 _SPACE_LETTER = "\u0120"  #: How byte-level BPE writes a space.
 WORDS_AT_ONCE = 20_000
-REMEMBERED = 500_000  #: Beyond so many pieces all are forgotten.
+REMEMBERED = 250_000  #: Beyond so many pieces a new generation begins; what the last one held is kept for one more, and longer if it occurs again.
 
 
 def encoder(path: str):
@@ -74,6 +74,7 @@ def encoder(path: str):
         return [np.array(e.ids, dtype) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     known: dict[str, bytes] = {}
+    before: dict[str, bytes] = {}
 
     def learn(pieces: list[str]) -> None:
         """Remembers the ids that the pieces have after a space. Where the tokens that begin with a space are not those that begin a piece, each piece is encoded apart."""
@@ -88,6 +89,7 @@ def encoder(path: str):
             known.update(zip(part, [raw[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], strict=True))
 
     def encode(texts):
+        nonlocal known, before
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         out = [b""] * len(texts)
         if not local:
@@ -103,8 +105,15 @@ def encoder(path: str):
             coded = flat.dictionary_encode()
             pieces = coded.dictionary.to_pylist()
             if len(known) > REMEMBERED:
-                known.clear()
-            learn([p for p in pieces if p not in known])
+                before, known = known, {}
+            unknown = []
+            for p in pieces:
+                if p not in known:
+                    if p in before:
+                        known[p] = before[p]
+                    else:
+                        unknown.append(p)
+            learn(unknown)
             values = list(map(known.__getitem__, pieces))
             heads = ids(flat.take(pa.array(starts[:-1])).to_pylist())  # no space before the first piece of a text
             index = coded.indices.to_numpy().copy()
