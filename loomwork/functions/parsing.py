@@ -80,3 +80,8 @@ def first_match(c: Column, rules: list[tuple[str, tuple[str, ...]]], default: st
             hit = low.contains(w.lower()) if hit is None else hit | low.contains(w.lower())
         out = F.when(hit, label) if out is None else out.when(hit, label)
     return out.otherwise(default) if out is not None else F.lit(default)
+
+
+def year_month(c: Column) -> Column:
+    """The text if it is a month such as 2024-03, else null."""
+    return F.when(c.rlike(r"\A[0-9]{4}-(?:0[1-9]|1[0-2])\z"), c)

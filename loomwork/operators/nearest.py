@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geo import unit_vector
+
 MAX_POINTS = 2_000_000  #: Points that may be sent to every executor; 24 MB of coordinates for each million.
 LEAF = 16
 
@@ -86,3 +88,21 @@ def nearest_in_space(targets: DataFrame, points: DataFrame, target_id: str, poin
 
     out = targets.select(F.col(target_id).cast("long").alias("t"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, "t long, p long, d double, seen long")
     return out.select(F.col("t").alias(target_id), F.col("p").alias(point_id), F.col("d").alias("squared_distance"), "seen")
+
+
+def _even(seed: int, *salt: str) -> Column:
+    return F.pmod(F.xxhash64("id", *[F.lit(s) for s in salt], F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+
+
+def on_sphere(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
+    """(id, v): n unit vectors, even on the sphere: the sine of the latitude is even, not the latitude."""
+    return spark.range(n).select("id", unit_vector(F.degrees(F.asin(2 * _even(seed, "lat") - 1)), 360 * _even(seed, "lon") - 180).alias("v"))
+
+
+def clustered(spark: SparkSession, n: int, seed: int = 0, clusters: int = 12, spread: float = 2.0) -> DataFrame:
+    """(id, v): n unit vectors in clumps of a normal spread, in degrees; centres lie between 60 degrees south and north."""
+    centre = F.floor(clusters * _even(seed, "clump"))
+    place = lambda name: F.pmod(F.xxhash64(centre, F.lit(name), F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+    radius, angle = spread * F.sqrt(-2 * F.log(1 - _even(seed, "radius"))), 2 * np.pi * _even(seed, "angle")
+    lat = F.greatest(F.lit(-89.9), F.least(F.lit(89.9), 120 * place("lat") - 60 + radius * F.cos(angle)))
+    return spark.range(n).select("id", unit_vector(lat, 360 * place("lon") - 180 + radius * F.sin(angle)).alias("v"))

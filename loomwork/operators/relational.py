@@ -133,3 +133,19 @@ def with_total(df: DataFrame, keys: list[str], aggregates: list[Column], label:
     width = len(keys)
     names = [F.when(F.col("_g").bitwiseAND(1 << (width - 1 - i)) != 0, F.lit(label)).otherwise(F.col(k).cast("string")).alias(k) for i, k in enumerate(keys)]
     return rolled.select(*names, *[c for c in rolled.columns if c not in [*keys, "_g"]])
+
+
+def update_anomaly(flat: DataFrame, key: str, fact: str, where: Column, value: Column) -> DataFrame:
+    """(key, before, after): how many different facts each key has in a flat table before and after a change of only the rows `where`. In a table of its own a key has one row, so one change leaves one fact."""
+    changed = F.when(where, value).otherwise(F.col(fact))
+    return flat.groupBy(key).agg(F.count_distinct(fact).alias("before"), F.count_distinct(changed).alias("after"))
+
+
+def delete_anomaly(flat: DataFrame, key: str, where: Column) -> DataFrame:
+    """(key): keys that a flat table forgets when the rows `where` go, though only the rows were meant."""
+    return flat.groupBy(key).agg(F.count_if(~F.coalesce(where, F.lit(False))).alias("_left")).where("_left = 0").select(key)
+
+
+def insert_anomaly(keys: DataFrame, flat: DataFrame, key: str) -> DataFrame:
+    """Rows of a table of keys that a flat table cannot hold, because nothing refers to them yet."""
+    return keys.join(flat.select(key).distinct(), key, "left_anti")

@@ -25,7 +25,12 @@ def indexed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
-    """queries(query_id, query) -> (query_id, rank, id, score): the k best documents of each query.
+    """queries(query_id, query) -> (query_id, rank, id, score): the k best documents of each query."""
+    return bm25_grid(docs, queries, id_col, text_col, [(k1, b)], k).drop("k1", "b")
+
+
+def bm25_grid(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, grid: list[tuple[float, float]], k: int = 10) -> DataFrame:
+    """(k1, b, query_id, rank, id, score): bm25 for each pair of parameters; the documents are read once for all of them.
 
     Scores are rounded to nine places and ties go by id. A query term that occurs twice counts twice; a term that no
     document has adds nothing. Only occurrences of query terms leave the documents: the full postings are never built.
@@ -38,10 +43,13 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(whole))  # one row
     idf = F.greatest(F.lit(1e-9), F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weights = asked.join(df.withColumn("idf", idf), "term")
+    k1, b = F.col("k1"), F.col("b")
     norm = 1 - b + b * F.col("length") / F.col("avgdl")
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * norm)
-    scores = found.join(weights, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
-    return top_k(scores, ["query_id"], [F.desc("score"), F.col("id")], k)
+    settings = F.array(*[F.struct(F.lit(float(x)).alias("k1"), F.lit(float(y)).alias("b")) for x, y in grid])
+    each = found.join(weights, "term").select("*", F.inline(settings))
+    scores = each.groupBy("k1", "b", "query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
+    return top_k(scores, ["k1", "b", "query_id"], [F.desc("score"), F.col("id")], k)
 
 
 def substring_search(docs: DataFrame, queries: list[tuple[str, str]], id_col: str, text_col: str, k: int = 10) -> DataFrame:
@@ -59,22 +67,26 @@ def top_k(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
-def per_query(results: DataFrame, judgments: DataFrame) -> DataFrame:
+def per_query(results: DataFrame, judgments: DataFrame, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """judgments(query_id, id) -> (query_id, relevant, hits, first_rank): for every judged query, also without results."""
-    r = results.join(judgments.distinct(), ["query_id", "id"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.min("rank").alias("first_rank"))
-    return judgments.groupBy("query_id").agg(F.count_distinct("id").alias("relevant")).join(r, "query_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    r = results.join(judgments.distinct(), [*by, "id"]).groupBy(*by).agg(F.count(F.lit(1)).alias("hits"), F.min("rank").alias("first_rank"))
+    return judgments.groupBy(*by).agg(F.count_distinct("id").alias("relevant")).join(r, list(by), "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
 
 
 def metrics(results: DataFrame, judgments: DataFrame, k: int = 10) -> DataFrame:
     """One row: precision and recall at k and the mean reciprocal rank over all judged queries."""
-    q = per_query(results, judgments)
+    return _means(per_query(results, judgments).groupBy(), k)
+
+
+def _means(q, k: int) -> DataFrame:
     return q.agg(F.avg(F.col("hits") / k).alias("p_at_k"), F.avg(F.col("hits") / F.col("relevant")).alias("r_at_k"), F.avg(F.coalesce(1 / F.col("first_rank"), F.lit(0.0))).alias("mrr"))
 
 
 def sweep(docs: DataFrame, queries: DataFrame, judgments: DataFrame, id_col: str, text_col: str, grid: list[tuple[float, float]]) -> DataFrame:
     """(k1, b, p_at_k, r_at_k, mrr) for each pair of parameters."""
-    runs = [metrics(bm25(docs, queries, id_col, text_col, 10, k1, b), judgments).select(F.lit(k1).alias("k1"), F.lit(b).alias("b"), "*") for k1, b in grid]
-    return reduce(DataFrame.unionByName, runs)
+    settings = F.array(*[F.struct(F.lit(float(x)).alias("k1"), F.lit(float(y)).alias("b")) for x, y in grid])
+    each = per_query(bm25_grid(docs, queries, id_col, text_col, grid), judgments.select("*", F.inline(settings)), ("k1", "b", "query_id"))
+    return _means(each.groupBy("k1", "b"), 10)
 
 
 def unjudged(judgments: DataFrame, docs: DataFrame, id_col: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 HOLDING_RATE, ORDER_COST, NOISE = 0.25, 120.0, 0.35
 #: Normal quantiles of service targets: fixed values.
-Z = {0.50: 0.0, 0.80: 0.842, 0.90: 1.282, 0.95: 1.645, 0.98: 2.054, 0.99: 2.326}
+Z = {0.50: 0.0, 0.80: 0.842, 0.90: 1.282, 0.95: 1.645, 0.975: 1.96, 0.99: 2.326}
 
 
 def demand_at(price: Column) -> Column:
@@ -60,14 +60,15 @@ def best_ad_spend(products: DataFrame, hi: float = 5000.0, steps: int = 101) ->
     return best.select("sku", "b.spend", "b.profit")
 
 
-_OUT = "sku string, policy string, seed int, units_sold long, units_lost long, revenue double, net_profit double, holding_cost double, service_level double, avg_inventory double, stockout_days int, orders_placed int"
+_OUT = "sku string, policy string, seed int, units_sold long, units_lost long, revenue double, net_profit double, holding_cost double, service_level double, avg_inventory double, stockout_days int, orders_placed int, cogs double, ad_spend double"
 
 
 def simulate(products: DataFrame, policies: list[dict], seeds: list[int], days: int = 365, noise: float = NOISE) -> DataFrame:
     """A row for each product, policy and seed: a simulated year, day by day.
 
-    A policy has name, price_change, spend, service, lead_time_add, lead_time_sd_mult and know_variance. Runs are spread
-    over the cluster and each hangs on its product, policy and seed only.
+    A policy has name, price_change, spend, service, lead_time_add, lead_time_sd_mult, know_variance and review_days: stock
+    is looked at, and ordered, on every review_days-th day. cogs and ad_spend are what the sold goods and the advertising
+    cost. Runs are spread over the cluster and each hangs on its product, policy and seed only.
     """
     runs = products.withColumn("policy", F.explode(F.array(*[F.lit(p["name"]) for p in policies]))).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
     by_name = {p["name"]: p for p in policies}
@@ -77,7 +78,7 @@ def simulate(products: DataFrame, policies: list[dict], seeds: list[int], days:
         # crossed runs share the seed, so that policies meet the same luck
         rnd = random.Random(f"{p['sku']}:{p['seed']}")
         price = p["base_price"] * (1 + pol.get("price_change", 0.0))
-        spend, service = pol.get("spend", 300.0), pol.get("service", 0.95)
+        spend, service, review = pol.get("spend", 300.0), pol.get("service", 0.95), pol.get("review_days", 1)
         lead, lead_sd = p["lead_time_mean"] + pol.get("lead_time_add", 0.0), p["lead_time_sd"] * pol.get("lead_time_sd_mult", 1.0)
         base = p["base_demand"] * (price / p["base_price"]) ** p["elasticity"] * (1 + (p["ad_max_lift"] - 1) * spend / (p["ad_saturation"] + spend) if spend else 1.0)
         spread = lead * (base * noise) ** 2 + base**2 * (lead_sd**2 if pol.get("know_variance", True) else 0.0)
@@ -95,19 +96,19 @@ def simulate(products: DataFrame, policies: list[dict], seeds: list[int], days:
             sold_all, lost_all, short = sold_all + sold, lost_all + want - sold, short + (want > sold)
             held += stock * p["unit_cost"] * HOLDING_RATE / 365
             kept += stock
-            if stock + sum(due.values()) <= reorder:
+            if day % review == 0 and stock + sum(due.values()) <= reorder:
                 at = day + max(1, round(rnd.gauss(lead, lead_sd)))
                 due[at] = due.get(at, 0.0) + lot
                 orders += 1
         profit = sold_all * (price - p["unit_cost"]) - spend * days - held
         total = sold_all + lost_all
-        return {"sku": p["sku"], "policy": p["policy"], "seed": p["seed"], "units_sold": sold_all, "units_lost": lost_all, "revenue": sold_all * price, "net_profit": profit, "holding_cost": held, "service_level": sold_all / total if total else 1.0, "avg_inventory": kept / days, "stockout_days": short, "orders_placed": orders}
+        return {"sku": p["sku"], "policy": p["policy"], "seed": p["seed"], "units_sold": sold_all, "units_lost": lost_all, "revenue": sold_all * price, "net_profit": profit, "holding_cost": held, "service_level": sold_all / total if total else 1.0, "avg_inventory": kept / days, "stockout_days": short, "orders_placed": orders, "cogs": sold_all * p["unit_cost"], "ad_spend": spend * days}
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.RecordBatch.from_pylist([year(p) for p in batch.to_pylist()], schema=pa.schema([("sku", pa.string()), ("policy", pa.string()), ("seed", pa.int32()), ("units_sold", pa.int64()), ("units_lost", pa.int64()), ("revenue", pa.float64()), ("net_profit", pa.float64()), ("holding_cost", pa.float64()), ("service_level", pa.float64()), ("avg_inventory", pa.float64()), ("stockout_days", pa.int32()), ("orders_placed", pa.int32())]))
+            yield pa.RecordBatch.from_pylist([year(p) for p in batch.to_pylist()], schema=pa.schema([("sku", pa.string()), ("policy", pa.string()), ("seed", pa.int32()), ("units_sold", pa.int64()), ("units_lost", pa.int64()), ("revenue", pa.float64()), ("net_profit", pa.float64()), ("holding_cost", pa.float64()), ("service_level", pa.float64()), ("avg_inventory", pa.float64()), ("stockout_days", pa.int32()), ("orders_placed", pa.int32()), ("cogs", pa.float64()), ("ad_spend", pa.float64())]))
 
     return runs.repartition("sku", "policy", "seed").mapInArrow(run, _OUT)
 

@@ -139,12 +139,15 @@ def folds(df: DataFrame, keys: list[str], k: int, seed: int = 0) -> DataFrame:
 
 def cross_validated(df: DataFrame, features: list[str], target: str, keys: list[str], k_features: int, k: int = 5, inside: bool = True, seed: int = 0, **model) -> list[float]:
     """Accuracies of the folds, with features selected inside each fold's training rows, or once on all rows (which leaks)."""
-    data = folds(df, keys, k, seed)
-    once = None if inside else by_correlation(df, features, target, k_features)
-    out = []
-    for i in range(k):
-        train, test = data.where(F.col("fold") != i), data.where(F.col("fold") == i)
-        cols = by_correlation(train, features, target, k_features) if inside else once
-        m = fit_boosted(train, cols, target, "log_loss", **{"trees": 5, "max_depth": 2, **model})
-        out.append(test.agg(F.avg((m.predict() == F.col(target)).cast("double")).alias("a")).first()["a"])
-    return out
+    data = folds(df, keys, k, seed).persist()  # each tree passes over it
+    try:
+        once = None if inside else by_correlation(df, features, target, k_features)
+        out = []
+        for i in range(k):
+            train, test = data.where(F.col("fold") != i), data.where(F.col("fold") == i)
+            cols = by_correlation(train, features, target, k_features) if inside else once
+            m = fit_boosted(train, cols, target, "log_loss", **{"trees": 5, "max_depth": 2, **model})
+            out.append(test.agg(F.avg((m.predict() == F.col(target)).cast("double")).alias("a")).first()["a"])
+        return out
+    finally:
+        data.unpersist()

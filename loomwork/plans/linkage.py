@@ -124,3 +124,41 @@ def embedding_nn(spark, sf):
     e = load(spark, sf, "embeddings")
     points = e.groupBy(F.col("label").alias("point")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
     return N.nearest_in_space(e, points, "vec_id", "point", "embedding").select("vec_id", F.col("point").cast("int").alias("point"), F.round("squared_distance", 9).alias("squared_distance"))
+
+
+@query("unlabelled_names", "SELECT DISTINCT p_name AS text FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size < 10)")
+def unlabelled_names(spark, sf):
+    """Part names that no small part bears."""
+    p = load(spark, sf, "part").select(F.col("p_name").alias("text"), "p_size")
+    return L.unlabelled(p, p.where("p_size < 10").select("text"))
+
+
+@query("valid_points", "SELECT c_custkey, c_custkey % 200 - 100 BETWEEN -90 AND 90 AND c_custkey % 400 - 200 BETWEEN -180 AND 180 AND c_custkey % 13 <> 0 AS ok FROM customer")
+def valid_points(spark, sf):
+    k = F.col("c_custkey")
+    return load(spark, sf, "customer").select("c_custkey", G.valid_point(F.when(k % 13 != 0, k % 200 - 100), k % 400 - 200).alias("ok"))
+
+
+@query(
+    "nearest_by_degrees",
+    f"""WITH c(name, lat, lon) AS (VALUES {_C}), p AS (SELECT c_custkey, CAST(c_custkey * 7919 % 18000 AS DOUBLE) / 100 - 90 AS lat, CAST(c_custkey * 104729 % 36000 AS DOUBLE) / 100 - 180 AS lon FROM customer),
+    n AS (SELECT c_custkey, arg_min(b.name, {_HAV}) AS sphere, arg_min(b.name, sqrt(power(a.lat - b.lat, 2) + power(a.lon - b.lon, 2))) AS plane FROM p a, c b GROUP BY 1)
+    SELECT count(*) AS points, count(*) FILTER (sphere <> plane) AS wrong FROM n""",
+)
+def nearest_by_degrees(spark, sf):
+    """How often the nearest city by degrees, as if they were a plane, is not the nearest on the sphere."""
+    k = F.col("c_custkey")
+    p = load(spark, sf, "customer").select("c_custkey", ((k * 7919 % 18000).cast("double") / 100 - 90).alias("la"), ((k * 104729 % 36000).cast("double") / 100 - 180).alias("lo"))
+    at = [F.col(c) for c in ("la", "lo", "lat", "lon")]
+    sphere = N.nearest_by(p, cities(spark), G.haversine_km(*at), "name", "c_custkey").select("c_custkey", F.col("name").alias("sphere"))
+    plane = N.nearest_by(p, cities(spark), G.planar(*at), "name", "c_custkey").select("c_custkey", F.col("name").alias("plane"))
+    return sphere.join(plane, "c_custkey").agg(F.count(F.lit(1)).alias("points"), F.count_if(F.col("sphere") != F.col("plane")).alias("wrong"))
+
+
+@query("tree_looks")
+def tree_looks(spark, sf):
+    """Points that the tree looks at for each of 200 targets, beside all points that a scan looks at, on even and on clustered points."""
+    targets = N.on_sphere(spark, 200, 1)
+    kinds = [("even", n, N.on_sphere(spark, n)) for n in (100, 1000, 10000)] + [("clustered", n, N.clustered(spark, n)) for n in (100, 1000, 10000)]
+    looks = [N.nearest_in_space(targets, p, "id", "id", "v").agg(F.avg("seen").alias("looks")).select(F.lit(kind).alias("points"), F.lit(n).alias("n"), "looks") for kind, n, p in kinds]
+    return reduce(DataFrame.unionByName, looks)

@@ -139,18 +139,18 @@ def stock_policy(spark, sf):
 
 @query("inventory_sim")
 def inventory_sim(spark, sf):
-    return U.simulate(products(spark, sf), [{"name": "base"}, {"name": "dearer", "price_change": 0.05}], [1, 2], days=120)
+    return U.simulate(products(spark, sf), [{"name": "base"}, {"name": "dearer", "price_change": 0.05}, {"name": "weekly", "review_days": 7}], [1, 2])
 
 
 @query("scenario")
 def scenario(spark, sf):
-    return U.scenario(U.simulate(products(spark, sf), [{"name": "base"}, {"name": "late", "lead_time_add": 3.0, "lead_time_sd_mult": 1.5}], [1, 2], days=120), "base", "late")
+    return U.scenario(U.simulate(products(spark, sf), [{"name": "base"}, {"name": "late", "lead_time_add": 3.0, "lead_time_sd_mult": 1.5}], [1, 2]), "base", "late")
 
 
 @query("service_sweep")
 def service_sweep(spark, sf):
     """Mean profit for each service target, and so the best one."""
-    s = U.simulate(products(spark, sf), [{"name": str(t), "service": t} for t in U.Z], [1], days=120)
+    s = U.simulate(products(spark, sf), [{"name": str(t), "service": t} for t in U.Z], [1])
     return s.groupBy("policy").agg(F.avg("net_profit").alias("profit"), F.avg("service_level").alias("service_level"))
 
 
@@ -188,3 +188,18 @@ def tree_predictions(spark, sf):
 def boosted_losses(spark, sf):
     t = labelled(spark, sf)
     return T.log_losses(t, T.fit_boosted(t, ["n_chars", "stops"], "quality", "log_loss", trees=3, max_depth=2, rate=0.3), "quality")
+
+
+@query("feature_leakage")
+def feature_leakage(spark, sf):
+    """Accuracy by fold with features selected inside the training rows, and selected once on all rows."""
+    t = labelled(spark, sf)
+    names = ["n_chars", "lines", "stops"]
+    rows = [(where, i, a) for where, inside in (("inside", True), ("outside", False)) for i, a in enumerate(T.cross_validated(t, names, "quality", ["doc_id"], 2, 3, inside, trees=2))]
+    return spark.createDataFrame(rows, "selected string, fold int, accuracy double")
+
+
+@query("ip_gap", "SELECT 635 - 627.5::DOUBLE AS gap, 740.0::DOUBLE - 635 AS overpaid, (740.0::DOUBLE - 635) / 635 AS overpaid_share")
+def ip_gap(spark, sf):
+    """What whole numbers cost beyond the relaxation, and what rounding its solution up costs beyond the optimum."""
+    return spark.createDataFrame([P.gaps(_C, _K, _U)], "gap double, overpaid double, overpaid_share double")

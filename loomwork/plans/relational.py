@@ -322,3 +322,19 @@ def excel_kpis(spark, sf):
     price = money("o_totalprice")
     t = load(spark, sf, "orders").agg(F.count("o_totalprice").alias("n"), F.sum(price).cast("double").alias("total"), F.max("o_totalprice").alias("highest"), F.min("o_totalprice").alias("lowest"), F.count_if(F.col("o_orderstatus") == "O").alias("open_orders"), F.coalesce(F.sum(F.when(F.col("o_orderstatus") == "O", price)), F.lit(0)).cast("double").alias("open_total"))
     return t.withColumn("average", F.round(F.try_divide("total", "n"), 2))
+
+
+@query("update_anomaly", "SELECT c_nationkey, count(DISTINCT n_name) AS before, count(DISTINCT CASE WHEN c_custkey % 100 = 1 THEN 'renamed' ELSE n_name END) AS after FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def update_anomaly(spark, sf):
+    flat = load(spark, sf, "customer").join(load(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return R.update_anomaly(flat, "c_nationkey", "n_name", F.col("c_custkey") % 100 == 1, F.lit("renamed"))
+
+
+@query("delete_anomaly", "SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_returnflag <> 'R') = 0")
+def delete_anomaly(spark, sf):
+    return R.delete_anomaly(load(spark, sf, "lineitem"), "l_orderkey", F.col("l_returnflag") == "R")
+
+
+@query("insert_anomaly", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def insert_anomaly(spark, sf):
+    return R.insert_anomaly(load(spark, sf, "customer").select("c_custkey", "c_name"), load(spark, sf, "orders").where("o_totalprice > 300000").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")

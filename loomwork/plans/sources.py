@@ -11,7 +11,7 @@ from ..functions import nfa as N
 from ..functions import parsing as P
 from ..functions import stats as S
 from ..sources import json_text as J
-from ..sources.csv_text import parse
+from ..sources.csv_text import export_expenses, failure_cause, import_expenses, naive, parse, positional
 from ..tables import load
 
 #: Whole CSV texts and the number of their rows and fields.
@@ -85,3 +85,91 @@ def short_codes(spark, sf):
 def first_match_category(spark, sf):
     rules = [("metal", ("steel", "brass", "copper")), ("plated", ("plated",))]
     return load(spark, sf, "part").select("p_partkey", P.first_match(F.col("p_type"), rules, "other").alias("category"))
+
+
+@query("alias_check", "SELECT p_partkey, regexp_full_match(a, '[A-Za-z0-9_-]{3,32}') AND lower(a) NOT IN ('api', 'admin', 'static', 'stats') AS ok FROM (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Stats' WHEN 1 THEN p_name WHEN 2 THEN 'ab' WHEN 3 THEN replace(p_name, ' ', '-') ELSE replace(p_name, ' ', '_') || '_' || p_partkey END AS a FROM part)")
+def alias_check(spark, sf):
+    k, name = F.col("p_partkey") % 5, F.col("p_name")
+    a = F.when(k == 0, "Stats").when(k == 1, name).when(k == 2, "ab").when(k == 3, F.translate(name, " ", "-")).otherwise(F.concat(F.translate(name, " ", "_"), F.lit("_"), "p_partkey"))
+    return load(spark, sf, "part").select("p_partkey", K.valid_alias(a).alias("ok"))
+
+
+@query("json_report", """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS report FROM nation""")
+def json_report(spark, sf):
+    return J.report_rows(load(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+
+
+@query(
+    "failure_causes",
+    "SELECT p_partkey, CASE p_partkey % 7 WHEN 1 THEN 'comma in quotes' WHEN 2 THEN 'newline in quotes' WHEN 3 THEN 'quotes kept' WHEN 4 THEN 'doubled quote' WHEN 5 THEN 'blank line' END AS cause FROM part",
+)
+def failure_causes(spark, sf):
+    """Why lines split at commas differ from the right rows, for texts made of part names."""
+
+    @F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
+    def right(x):
+        import pyarrow as pa
+
+        return pa.array([list(parse(t)) for t in x.to_pylist()], pa.list_(pa.list_(pa.string())))
+
+    @F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
+    def split(x):
+        import pyarrow as pa
+
+        return pa.array([naive(t) for t in x.to_pylist()], pa.list_(pa.list_(pa.string())))
+
+    k = F.col("p_partkey") % 7
+    shape = F.when(k == 0, "%s,x\n").when(k == 1, '"%s,x",y\n').when(k == 2, '"%s\nx",y\n').when(k == 3, '"%s",x\n').when(k == 4, '"%s ""x"""\n').when(k == 5, "%s\n\nx\n").otherwise("%s\nx,y")
+    t = load(spark, sf, "part").select("p_partkey", F.replace(shape, F.lit("%s"), F.col("p_name")).alias("text"))
+    return t.withColumns({"got": split("text"), "want": right("text")}).select("p_partkey", failure_cause(F.col("got"), F.col("want")).alias("cause"))
+
+
+@query(
+    "line_arity",
+    "SELECT p_partkey, p_name AS name, CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_size AS VARCHAR) END AS size FROM part WHERE p_partkey % 4 <> 3",
+)
+def line_arity(spark, sf):
+    """Cells by position: surplus ones dropped, missing ones null, blank lines left out."""
+    k = F.col("p_partkey") % 4
+    line = F.when(k == 0, F.col("p_name")).when(k == 1, F.concat_ws(",", "p_name", "p_size")).when(k == 2, F.concat_ws(",", "p_name", "p_size", F.lit("more"))).otherwise("  ")
+    return positional(load(spark, sf, "part").select("p_partkey", line.alias("line")), ["name", "size"])[0].drop("line")
+
+
+@query("line_arity_refused", "SELECT p_partkey, p_name || CASE WHEN p_partkey % 4 = 2 THEN ',' || p_size || ',more' ELSE '' END AS line FROM part WHERE p_partkey % 4 IN (0, 2)")
+def line_arity_refused(spark, sf):
+    k = F.col("p_partkey") % 4
+    line = F.when(k == 0, F.col("p_name")).when(k == 1, F.concat_ws(",", "p_name", "p_size")).when(k == 2, F.concat_ws(",", "p_name", "p_size", F.lit("more"))).otherwise("  ")
+    return positional(load(spark, sf, "part").select("p_partkey", line.alias("line")), ["name", "size"])[1]
+
+
+_EXPENSE = "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '2024-02-30' WHEN 1 THEN strftime(o_orderdate, '%d.%m.%Y') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date, CASE o_orderkey % 7 WHEN 0 THEN ' ' ELSE o_orderstatus END AS category, CASE o_orderkey % 11 WHEN 0 THEN '-5' WHEN 1 THEN 'free' WHEN 2 THEN '0' ELSE '$' || o_orderkey END AS amount FROM orders"
+_FAILS = "o_orderkey % 5 < 2 OR o_orderkey % 7 = 0 OR o_orderkey % 11 < 3"
+
+
+def _expenses(spark, sf):
+    k = F.col("o_orderkey")
+    date = F.when(k % 5 == 0, "2024-02-30").when(k % 5 == 1, F.date_format("o_orderdate", "dd.MM.yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    amount = F.when(k % 11 == 0, "-5").when(k % 11 == 1, "free").when(k % 11 == 2, "0").otherwise(F.concat(F.lit("$"), k))
+    return load(spark, sf, "orders").select("o_orderkey", date.alias("date"), F.when(k % 7 == 0, " ").otherwise(F.col("o_orderstatus")).alias("category"), amount.alias("amount"))
+
+
+@query("expenses_taken", f"SELECT o_orderkey, CAST(date AS DATE) AS date, category, CAST(o_orderkey AS DOUBLE) AS amount FROM ({_EXPENSE}) WHERE NOT ({_FAILS})")
+def expenses_taken(spark, sf):
+    return import_expenses(_expenses(spark, sf))[0]
+
+
+@query("expenses_refused", f"SELECT * FROM ({_EXPENSE}) WHERE {_FAILS}")
+def expenses_refused(spark, sf):
+    return import_expenses(_expenses(spark, sf))[1]
+
+
+@query("expenses_exported", "SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderstatus AS description, '-' || CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR) AS amount FROM orders")
+def expenses_exported(spark, sf):
+    return export_expenses(load(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date"), F.col("o_orderstatus").alias("description"), F.col("o_totalprice").alias("amount")))
+
+
+@query("year_months", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN strftime(o_orderdate, '%Y-%m') ELSE NULL END AS month FROM orders")
+def year_months(spark, sf):
+    k, month = F.col("o_orderkey") % 4, F.date_format("o_orderdate", "yyyy-MM")
+    text = F.when(k == 0, "2024-13").when(k == 1, F.substring(month, 1, 6)).when(k == 2, month)
+    return load(spark, sf, "orders").select("o_orderkey", P.year_month(text).alias("month"))

@@ -58,9 +58,20 @@ def search_metrics(spark, sf):
     return S.metrics(S.bm25(load(spark, sf, "documents"), queries(spark), "doc_id", "text"), judgments(spark, sf))
 
 
-@query("search_sweep")
+#: Five lengths' weights b at k1 = 1.5 and five saturations k1 at b = 0.25.
+GRID = list(dict.fromkeys([(1.5, b) for b in (0.0, 0.25, 0.5, 0.75, 1.0)] + [(k1, 0.25) for k1 in (0.5, 1.2, 1.5, 2.0, 3.0)]))
+_H = f"h AS (SELECT j.query_id, count(DISTINCT j.id) AS relevant, count(r.id) AS hits, min(r.rank) AS first_rank FROM j LEFT JOIN (SELECT * FROM r WHERE rank <= 10) r ON r.query_id = j.query_id AND r.id = j.id GROUP BY 1)"
+_MEANS = "avg(hits / 10) AS p_at_k, avg(hits / relevant) AS r_at_k, avg(coalesce(1 / first_rank, 0)) AS mrr FROM h"
+
+
+def _at(k1: float, b: float) -> str:
+    """The same tables at other parameters."""
+    return _BM25.replace("tf * 2.5 / (tf + 1.5 * (0.75 + 0.25 * length / avgdl))", f"tf * {k1 + 1}::DOUBLE / (tf + {k1}::DOUBLE * ({1 - b}::DOUBLE + {b}::DOUBLE * length / avgdl))")
+
+
+@query("search_sweep", " UNION ALL ".join(f"SELECT {k1}::DOUBLE AS k1, {b}::DOUBLE AS b, p_at_k, r_at_k, mrr FROM (WITH {_at(k1, b)}, j AS ({_JUDGED}), {_H} SELECT {_MEANS})" for k1, b in GRID))
 def search_sweep(spark, sf):
-    return S.sweep(load(spark, sf, "documents"), queries(spark), judgments(spark, sf), "doc_id", "text", [(1.2, 0.0), (1.5, 0.25), (1.5, 0.75)])
+    return S.sweep(load(spark, sf, "documents"), queries(spark), judgments(spark, sf), "doc_id", "text", GRID)
 
 
 @query("unjudged", "SELECT id, query_id FROM (SELECT doc_id + 500 AS id, 'x' AS query_id FROM documents) WHERE id NOT IN (SELECT doc_id FROM documents)")
@@ -121,3 +132,37 @@ def definitions(spark, sf):
 def page_sections(spark, sf):
     s = U.sections(load(spark, sf, "documents"))
     return s.select("doc_id", "section", "title", F.size(F.filter(F.split("body", r"\s+"), lambda x: x != "")).cast("long").alias("words"))
+
+
+@query("search_by_query", f"WITH {_BM25}, j AS ({_JUDGED}), {_H} SELECT query_id, relevant, hits, first_rank FROM h")
+def search_by_query(spark, sf):
+    """Relevant documents, hits among the first ten, and the rank of the first, for each judged query."""
+    return S.per_query(S.bm25(load(spark, sf, "documents"), queries(spark), "doc_id", "text"), judgments(spark, sf))
+
+
+_LIKE = f"""d AS (SELECT doc_id AS id, lower(concat_ws(' ', coalesce(text, ''), CAST(doc_id AS VARCHAR))) AS b FROM documents), q AS (SELECT query_id, {_TOKENS.format('query')} AS t FROM (VALUES {_Q}) q(query_id, query)),
+    s AS (SELECT query_id, id, CAST(len(list_filter(t, lambda x: contains(b, x))) AS DOUBLE) AS score FROM d, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score > 0)"""
+
+
+@query("substring_metrics", f"WITH {_LIKE}, j AS ({_JUDGED}), {_H} SELECT {_MEANS}")
+def substring_metrics(spark, sf):
+    """The baseline's quality, beside search_metrics."""
+    return S.metrics(S.substring_search(load(spark, sf, "documents"), QUERIES, "doc_id", "text"), judgments(spark, sf))
+
+
+_TIDY = "text"
+for _bad, _good in U.LIGATURES.items():
+    _TIDY = f"replace({_TIDY}, '{_bad}', '{_good.replace(chr(39), chr(39) * 2)}')"
+_TIDY = f"regexp_replace({_TIDY}, '-\\n(\\w)', '\\1', 'g')"
+_TIDY = f"regexp_replace(regexp_replace({_TIDY}, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+
+
+@query("tidied", f"SELECT doc_id, trim({_TIDY}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM documents")
+def tidied(spark, sf):
+    return load(spark, sf, "documents").select("doc_id", U.tidy(F.col("text")).alias("text"))
+
+
+@query("glossary")
+def glossary(spark, sf):
+    """Definitions, and key terms with the first sentence that holds them."""
+    return U.glossary(units(spark, sf), load(spark, sf, "documents"))

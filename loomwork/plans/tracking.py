@@ -88,3 +88,9 @@ def claims(spark, sf):
     ]
     rows = [(r["name"], float(r["expected"]), r["actual"], r["ok"]) for r in K.check_claims(listed)]
     return spark.createDataFrame(rows, "name string, expected double, actual double, ok boolean")
+
+
+@query("served_clock", "SELECT user_id, CAST(sum(greatest(event_id % 7 - 2, 0) * 1000) AS BIGINT) AS served_ms FROM events GROUP BY 1")
+def served_clock(spark, sf):
+    start = F.col("event_id") * 10
+    return K.served(load(spark, sf, "events").select("user_id", start.alias("resumed_at"), (start + (F.col("event_id") % 7 - 2) * 1000).alias("stopped_at")), "user_id")

@@ -105,12 +105,31 @@ def write_table(df: DataFrame, path: str, columns: list[str] | None = None) -> N
 
 def import_expenses(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, refused) of rows with date, category and amount as text: a real date, a category, a positive amount."""
-    date = F.try_to_date("date", F.lit("yyyy-MM-dd")) if hasattr(F, "try_to_date") else F.col("date").try_cast("date")
+    date = F.try_to_date("date", "yyyy-MM-dd")
     amount = as_number(F.col("amount"))
     ok = F.coalesce(F.col("date").rlike(r"\A\d{4}-\d{2}-\d{2}\z") & date.isNotNull() & (F.length(F.trim("category")) > 0) & (amount > 0), F.lit(False))
     return rows.where(ok).withColumns({"date": date, "amount": amount}), rows.where(~ok)
 
 
-def failure_cause(text, got, want):
-    """Column: why a naive split differs from the right rows, by the first cause that applies; null if it does not differ."""
-    return F.when(got == want, F.lit(None)).when(text.rlike(r'"[^"]*[\r\n][^"]*"'), "newline in quotes").when(text.rlike(r'"[^"]*,[^"]*"'), "comma in quotes").when(text.contains('""'), "doubled quote").when(text.contains('"'), "quotes kept").otherwise("other")
+def failure_cause(got, want):
+    """Column: why rows (arrays of arrays of fields) that a naive split got differ from the right ones, by the first cause that applies; null if they do not differ."""
+    has = lambda rows, signs: F.exists(rows, lambda row: F.exists(row, lambda f: f.rlike(signs)))
+    both = F.arrays_zip(got.alias("g"), want.alias("w"))
+    cells = F.filter(F.flatten(F.transform(both, lambda p: F.arrays_zip(p["g"].alias("g"), p["w"].alias("w")))), lambda p: p["g"] != p["w"])
+    cell = F.get(cells, F.lit(0))
+    wide = F.get(F.filter(both, lambda p: F.size(p["g"]) != F.size(p["w"])), F.lit(0))
+    by_width = F.when(F.exists(wide["w"], lambda f: f.contains(",")), "comma in quotes").when(F.size(wide["w"]) == 0, "blank line").otherwise("number of fields")
+    by_cell = F.when(cell["g"] == F.concat(F.lit('"'), cell["w"], F.lit('"')), "quotes kept").when(cell["g"].contains('""'), "doubled quote").otherwise("other value")
+    by_rows = F.when(has(want, r"[\r\n]"), "newline in quotes").otherwise("number of rows")
+    return F.when(got == want, F.lit(None)).when(F.size(got) != F.size(want), by_rows).when(wide.isNotNull(), by_width).otherwise(by_cell)
+
+
+def positional(lines: DataFrame, columns: list[str], line_col: str = "line") -> tuple[DataFrame, DataFrame]:
+    """(rows, refused) of lines split at commas: columns by position, surplus cells dropped and missing ones null; blank lines vanish. refused holds the lines whose number of cells is another one; they stand in rows too."""
+    t = lines.where(F.length(F.trim(line_col)) > 0).withColumn("_cells", F.split(line_col, ","))
+    return t.select("*", *[F.get("_cells", F.lit(i)).alias(c) for i, c in enumerate(columns)]).drop("_cells"), t.where(F.size("_cells") != len(columns)).drop("_cells")
+
+
+def export_expenses(rows: DataFrame) -> DataFrame:
+    """(date, description, amount) as text: expenses leave with a minus sign and two decimals, as an account statement has them."""
+    return rows.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "description", F.format_string("%.2f", (-F.col("amount")).cast("double")).alias("amount"))
