@@ -31,28 +31,59 @@ NULL_ID = -(2**63)
 TEXTS_AT_ONCE = 8_000_000  #: About so many bytes of text are encoded at once: pieces that occur again among them cost nothing.
 
 
-#: White space of any kind, for RE2; and such at an end of a text or beside a space.
-_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_UNEVEN = rf"(?:\A{_SPACE}|{_SPACE}\z| {_SPACE}|{_SPACE} )"
-_SPACE_LETTER = "\u0120"  #: How byte-level BPE writes a space.
+def _are(*ranges: tuple[int, int]) -> np.ndarray:
+    """A table of bytes: True for those in the ranges, whose ends belong to them."""
+    out = np.zeros(256, bool)
+    for a, b in ranges:
+        out[a : b + 1] = True
+    return out
+
+
+#: White space of one byte; the first and the last bytes of any longer one; letters of one byte; first bytes of two that are letters with any second (0xC3 has two exceptions); signs.
+_WHITE = _are((9, 13), (28, 32))
+_WHITE_LEADS, _WHITE_ENDS = _are((0xC2, 0xC2), (0xE1, 0xE3)), _are((0x80, 0x8A), (0x9F, 0xA0), (0xA8, 0xA9), (0xAF, 0xAF))
+_LETTERS, _LETTER_LEADS = _are((65, 90), (97, 122)), _are((0xC4, 0xC7), (0xD0, 0xD1))
+_SIGNS = _are((33, 47), (58, 64), (91, 96), (123, 126))
+_SPACE_LETTER, _LINE_LETTER = "\u0120", "\u010a"  #: How byte-level BPE writes a space and a line feed.
 WORDS_AT_ONCE = 20_000
 REMEMBERED = 250_000  #: Beyond so many pieces a new generation begins; what the last one held is kept for one more, and longer if it occurs again.
+LONGEST = 100  #: Longer pieces are not remembered, so that the memory is bounded in bytes too.
+
+
+def _cuts(data: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Where the UTF-8 bytes of texts can be cut, besides between texts, so that byte-level BPE gives for the pieces what it gives for the whole.
+
+    Its pattern surely begins a match at a space or line feed behind what is no white space, behind such a line feed if no
+    white space follows, and at a sign behind a letter; and the match before ends alike if nothing follows. `signs` is a table of
+    the signs that count. What is not sure (some white space has several bytes) is not cut.
+    """
+
+    def solid(at):  # the character that ends here is no white space
+        last = data[at]
+        return ~(_WHITE[last] | _WHITE_ENDS[last] & (_WHITE_LEADS[data[np.maximum(at - 1, 0)]] | _WHITE_LEADS[data[np.maximum(at - 2, 0)]]))
+
+    spaces, lines, others = (np.flatnonzero(x) + 1 for x in (data[1:] == 32, data[1:] == 10, signs[data[1:]]))
+    spaces, lines = spaces[solid(spaces - 1)], lines[solid(lines - 1)]
+    behind = lines[lines < len(data) - 1] + 1
+    behind = behind[~(_WHITE | _WHITE_LEADS)[data[behind]]]
+    last, first = data[others - 1], data[np.maximum(others - 2, 0)]
+    others = others[_LETTERS[last] | (last >= 0x80) & (_LETTER_LEADS[first] | (first == 0xC3) & (last != 0x97) & (last != 0xB7))]
+    return np.concatenate([spaces, lines, behind, others])
 
 
 def encoder(path: str):
     """(width of an id in bytes, a function from texts, a list or an Arrow array, to their ids as bytes of little-endian unsigned integers): what Tokenizer.encode(text, add_special_tokens=False) gives.
 
-    A byte-level BPE file without normalizer, prefix space or truncation splits a text before every single space between
-    two characters that are no white space, whatever stands around. So Arrow splits the texts there and numbers the
+    A byte-level BPE file without normalizer, prefix space or truncation splits a text at spaces, line feeds and signs that
+    _cuts() finds, whatever else stands around. So the texts are cut there, by views on their bytes, and Arrow numbers the
     distinct pieces; the library encodes each distinct piece that is not remembered, many in one text, where a token that
-    begins with a space begins a piece; and Arrow puts the ids of all pieces together. Texts with other white space beside a space or at an
-    end, and all texts for any other file, are encoded as they stand.
+    begins with a space begins a piece, or a line feed stands between two; and Arrow puts the ids of all pieces together.
+    For any other file, texts are encoded as they stand.
     """
     import json
     import os
 
     import pyarrow as pa
-    import pyarrow.compute as pc
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -62,13 +93,17 @@ def encoder(path: str):
     pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
     local = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding")
     local = local and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
-    local = local and all(" " not in x["content"] and not (x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"]) for x in spec.get("added_tokens", []))
+    added = "".join(x["content"] for x in spec.get("added_tokens", []))
+    local = local and not {" ", "\n"} & set(added) and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] for x in spec.get("added_tokens", []))
     vocabulary = tok.get_vocab()
     size = max([END_ID, *vocabulary.values()]) + 1
     width = 2 if size <= 2**16 else 4
     dtype = f"<u{width}"
     opens = np.zeros(size, bool)
     opens[[i for t, i in vocabulary.items() if t.startswith(_SPACE_LETTER)]] = True
+    line = vocabulary.get(_LINE_LETTER, -1)
+    signs = _SIGNS.copy()
+    signs[[x for x in added.encode() if x < 128]] = False  # an added token is never cut
 
     def ids(texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -77,56 +112,71 @@ def encoder(path: str):
     before: dict[str, bytes] = {}
 
     def learn(pieces: list[str]) -> None:
-        """Remembers the ids that the pieces have after a space. Where the tokens that begin with a space are not those that begin a piece, each piece is encoded apart."""
-        for i in range(0, len(pieces), WORDS_AT_ONCE):
-            part = pieces[i : i + WORDS_AT_ONCE]
-            got = ids([" " + " ".join(part)])[0]
+        """Remembers the ids of the pieces. Those that could run into others, and all where tokens and pieces disagree, are encoded apart."""
+        spaced, bare, odd = [], [], []
+        for p in pieces:
+            if p[-1].isspace():
+                odd.append(p)
+            elif p[0] == " ":
+                (odd if p[1].isspace() or " " in p[1:] else spaced).append(p)
+            else:
+                (odd if p[0].isspace() or "\n" in p else bare).append(p)
+        for i in range(0, len(spaced), WORDS_AT_ONCE):
+            part = spaced[i : i + WORDS_AT_ONCE]
+            got = ids(["".join(part)])[0]
             at = np.flatnonzero(opens[got])
             if len(at) != len(part):
-                known.update(zip(part, [x.tobytes() for x in ids([" " + p for p in part])], strict=True))
+                odd += part
                 continue
             raw, cuts = got.tobytes(), (np.append(at, len(got)) * width).tolist()
             known.update(zip(part, [raw[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], strict=True))
+        for i in range(0, len(bare), WORDS_AT_ONCE):
+            part = bare[i : i + WORDS_AT_ONCE]
+            got = ids(["\n".join(part)])[0]
+            at = np.flatnonzero(got == line)
+            if len(at) != len(part) - 1:
+                odd += part
+                continue
+            raw, begin, end = got.tobytes(), (np.append(0, at + 1) * width).tolist(), (np.append(at, len(got)) * width).tolist()
+            known.update(zip(part, [raw[x:y] for x, y in zip(begin, end, strict=True)], strict=True))
+        known.update(zip(odd, [x.tobytes() for x in ids(odd)], strict=True))
 
     def encode(texts):
         nonlocal known, before
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
-        out = [b""] * len(texts)
         if not local:
             return [x.tobytes() for x in ids(texts.to_pylist())]
-        uneven = pc.or_(pc.match_substring_regex(texts, _UNEVEN), pc.equal(pc.binary_length(texts), 0)).to_numpy(zero_copy_only=False)
-        odd = np.flatnonzero(uneven)
-        for i, x in zip(odd.tolist(), ids(texts.take(pa.array(odd)).to_pylist()), strict=True):
-            out[i] = x.tobytes()
-        even = np.flatnonzero(~uneven)
-        if len(even):
-            split = pc.split_pattern(texts.take(pa.array(even)), " ")
-            flat, starts = split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()
-            coded = flat.dictionary_encode()
-            pieces = coded.dictionary.to_pylist()
-            if len(known) > REMEMBERED:
-                before, known = known, {}
-            unknown = []
-            for p in pieces:
-                if p not in known:
-                    if p in before:
-                        known[p] = before[p]
-                    else:
-                        unknown.append(p)
-            learn(unknown)
-            values = list(map(known.__getitem__, pieces))
-            heads = ids(flat.take(pa.array(starts[:-1])).to_pylist())  # no space before the first piece of a text
-            index = coded.indices.to_numpy().copy()
-            index[starts[:-1]] = len(pieces) + np.arange(len(heads))
-            values += [h.tobytes() for h in heads]
-            ends = np.zeros(len(values) + 1, np.int32)
-            np.cumsum(np.fromiter(map(len, values), np.int64, len(values)) // width, out=ends[1:])
-            taken = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(values), dtype))).take(pa.array(index))
-            cuts = (taken.offsets.to_numpy()[starts] * width).tolist()
-            raw = memoryview(taken.values.to_numpy()).cast("B")
-            for i, x, y in zip(even.tolist(), cuts, cuts[1:], strict=False):
-                out[i] = raw[x:y]
-        return out
+        kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+        starts = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, kind)
+        if starts[0] == starts[-1]:
+            return [b""] * len(texts)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[starts[0] : starts[-1]]
+        begins = np.zeros(len(data) + 1, bool)
+        begins[_cuts(data, signs)] = True
+        begins[starts - starts[0]] = True
+        at = (np.flatnonzero(begins) + starts[0]).astype(kind)
+        coded = pa.Array.from_buffers(texts.type, len(at) - 1, [None, pa.py_buffer(at), texts.buffers()[2]]).dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(known) > REMEMBERED:
+            before, known = known, {}
+        unknown = []
+        for p in pieces:
+            if p not in known:
+                if p in before:
+                    known[p] = before[p]
+                else:
+                    unknown.append(p)
+        learn(unknown)
+        values = list(map(known.__getitem__, pieces))
+        for p in unknown:
+            if len(p) > LONGEST:
+                del known[p]
+        ends = np.zeros(len(values) + 1, np.int32)
+        np.cumsum(np.fromiter(map(len, values), np.int64, len(values)) // width, out=ends[1:])
+        taken = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(values), dtype))).take(coded.indices)
+        cuts = (taken.offsets.to_numpy()[np.searchsorted(at, starts)] * width).tolist()
+        raw = memoryview(taken.values.to_numpy()).cast("B")
+        return [raw[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
 
     return width, encode
 
