@@ -176,10 +176,14 @@ def left_join_zero_clicks(spark, sf):
 def fan_out_distinct(spark, sf):
     from pyspark.sql.window import Window
 
-    p = load(spark, sf, "part").select("p_partkey")
-    t = load(spark, sf, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"), "right").groupBy("p_partkey").agg(F.count_distinct("l_orderkey").alias("orders"), F.count_distinct("l_suppkey").alias("suppliers"))
+    p = load(spark, sf, "part").select("p_partkey").distinct()
+    lines = load(spark, sf, "lineitem").groupBy("l_partkey").agg(F.count_distinct("l_orderkey").alias("orders"), F.count_distinct("l_suppkey").alias("suppliers"))
+    t = p.join(lines, F.col("l_partkey") == F.col("p_partkey"), "left").select("p_partkey", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("orders", "suppliers")])
     t = t.withColumn("engagement", F.col("orders") + F.col("suppliers"))
-    return t.withColumn("rnk", F.rank().over(Window.orderBy(F.desc("engagement"))).cast("long"))
+    # a rank is one more than all parts with more engagement; the window is over different numbers, not over parts
+    n = t.groupBy("engagement").agg(F.count(F.lit(1)).alias("_n"))
+    ranks = n.select("engagement", (F.sum("_n").over(Window.orderBy(F.desc("engagement"))) - F.col("_n") + 1).alias("rnk"))
+    return t.join(ranks, "engagement").select("p_partkey", "orders", "suppliers", "engagement", "rnk")
 
 
 _EDGES = "SELECT user_id AS src, lead(user_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS dst FROM events"
