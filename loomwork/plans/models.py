@@ -10,6 +10,7 @@ from ..operators import programming as P
 from ..operators import scoring as A
 from ..operators import supply as U
 from ..operators import trees as T
+from ..scratch import kept
 from ..tables import load
 
 #: A company's figures from a supplier's key and balance, in both dialects.
@@ -172,8 +173,8 @@ def ip_methods(spark, sf):
 
 
 def labelled(spark, sf):
-    d = load(spark, sf, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), F.size(F.split("text", "\n")).cast("double").alias("lines"), F.length(F.regexp_replace("text", "[^.]", "")).cast("double").alias("stops"))
-    return load(spark, sf, "labels").join(d, "doc_id")
+    d = load(spark, sf, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), F.size(F.split("text", "\n")).cast("double").alias("lines"), (F.length("text") - F.length(F.replace("text", F.lit("."), F.lit("")))).cast("double").alias("stops"))
+    return kept(load(spark, sf, "labels").join(d, "doc_id"), "labelled")  # every level of a tree passes over it
 
 
 @query("tree_predictions")
