@@ -32,7 +32,7 @@ def is_nullish(c: Column) -> Column:
 
 def as_number(c: Column) -> Column:
     """A double, or null if the cell is null-like or no number; commas, $ and % are ignored."""
-    s = trimmed(F.regexp_replace(trimmed(c), r"[,$%]", ""))
+    s = trimmed(F.translate(trimmed(c), ",$%", ""))
     digits = r"\d+(_\d+)*"
     number = s.rlike(rf"\A[+-]?({digits}\.?({digits})?|\.{digits})([eE][+-]?{digits})?\z")
     infinite = F.lower(s).rlike(r"\A[+-]?inf(inity)?\z")
@@ -50,7 +50,16 @@ def _shape(layout: str) -> str:
 def as_datetime(c: Column) -> Column:
     """A timestamp, or null; the first layout that fits decides, then any ISO form."""
     s = trimmed(c)
-    return F.when(~is_nullish(c), F.coalesce(*[F.when(s.rlike(_shape(p)), F.try_to_timestamp(s, F.lit(p))) for p in DATE_LAYOUTS], F.when(s.rlike(r"\A\d{4}-"), s.try_cast("timestamp"))))
+
+    def first(timed: bool, sign: str):  # a text with such signs fits no other layouts
+        fits = [p for p in DATE_LAYOUTS if (":" in p) == timed and next((x for x in "/-" if x in p), "") == sign]
+        return F.coalesce(*[F.when(s.rlike(_shape(p)), F.try_to_timestamp(s, F.lit(p))) for p in fits]) if fits else F.lit(None).cast("timestamp")
+
+    def of(timed: bool):
+        return F.when(F.contains(s, F.lit("/")), first(timed, "/")).when(F.contains(s, F.lit("-")), first(timed, "-")).otherwise(first(timed, ""))
+
+    laid_out = F.when(F.contains(s, F.lit(":")), of(True)).otherwise(of(False))
+    return F.when(~is_nullish(c), F.coalesce(laid_out, F.when(s.rlike(r"\A\d{4}-"), s.try_cast("timestamp"))))
 
 
 def full_match(c: Column, pattern: str) -> Column:

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.parsing import as_datetime, as_number, full_match, is_nullish, trimmed
-from .sampling import chosen, ranked
+from ..scratch import kept
+from .sampling import before_cut, chosen, cut_of
 
 ERROR, WARN = "error", "warn"
 OPS = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "==": lambda a, b: a == b, "!=": lambda a, b: a != b}
@@ -259,11 +260,43 @@ def violations(df: DataFrame, rules: list[Rule], row_id: str = "row_id", refs: d
     return reduce(DataFrame.unionByName, out)
 
 
+def tally(df: DataFrame, rules: list[Rule], row_id: str = "row_id", refs: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(rule, n) of the rules that have violations, as violations() has them, but no row is made for one: row rules are counted in one aggregate, repeated and unknown values by value. row_id tells rows apart."""
+    refs = refs or {}
+    lacking = {c for r in rules for c in r.columns} - set(df.columns)
+    full = df.withColumns({c: F.lit(None).cast("string") for c in lacking}) if lacking else df
+    out, rest = [], []
+    if by_row := [r for r in rules if r.kind in ROW_KINDS]:
+        forms = _Cells()
+        found = [F.count(_finding(r, forms)).alias(f"_r{i}") for i, r in enumerate(by_row)]
+        one = forms.added(full).agg(*found)
+        out.append(one.select(F.inline(F.array(*[F.struct(F.lit(r.id).alias("rule"), F.col(f"_r{i}").alias("n")) for i, r in enumerate(by_row)]))))
+    for r in rules:
+        if r.kind == "unique":
+            ks = [f"_k{i}" for i in range(len(r.columns))]
+            n = full.select(*[F.coalesce(trimmed(F.col(c)), F.lit("")).alias(k) for c, k in zip(r.columns, ks, strict=True)]).groupBy(*ks).agg(F.count(F.lit(1)).alias("_n"))
+            n = n.where(~reduce(lambda a, b: a & b, [is_nullish(F.col(k)) for k in ks]))
+            out.append(n.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("n")).select(F.lit(r.id).alias("rule"), "n"))
+        elif r.kind == "foreign_key" and r.options["ref"] in refs:
+            known = refs[r.options["ref"]].select(trimmed(F.col(r.options["ref_column"])).alias("_known")).distinct()
+            n = full.select(trimmed(F.col(r.columns[0])).alias("_v")).where(~is_nullish(F.col("_v"))).groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
+            out.append(n.join(known, F.col("_v") == F.col("_known"), "left_anti").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).select(F.lit(r.id).alias("rule"), "n"))
+        elif r.kind not in ROW_KINDS:
+            rest.append(r)
+    if rest:  # of the whole table: a row or two
+        out.append(violations(df, rest, row_id, refs).groupBy("rule").agg(F.count(F.lit(1)).alias("n")))
+    return reduce(DataFrame.unionByName, out).where("n > 0")
+
+
+def _of_every(df: DataFrame, rules: list[Rule], found: DataFrame) -> DataFrame:
+    """(rule, severity, violations) of every rule, 0 included, from the (rule, n) of some."""
+    all_ = df.sparkSession.createDataFrame([(r.id, r.severity) for r in rules], "rule string, severity string")
+    return all_.join(found, "rule", "left").select("rule", "severity", F.coalesce("n", F.lit(0)).cast("long").alias("violations"))
+
+
 def counts(df: DataFrame, rules: list[Rule], **kw) -> DataFrame:
     """(rule, severity, violations) of every rule, 0 included."""
-    n = violations(df, rules, **kw).groupBy(F.col("rule").alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
-    all_ = df.sparkSession.createDataFrame([(r.id, r.severity) for r in rules], "rule string, severity string")
-    return all_.join(n, F.col("rule") == F.col("_r"), "left").select("rule", "severity", F.coalesce("_n", F.lit(0)).cast("long").alias("violations"))
+    return _of_every(df, rules, tally(df, rules, **kw))
 
 
 def split(df: DataFrame, rules: list[Rule], row_id: str = "row_id", **kw) -> tuple[DataFrame, DataFrame]:
@@ -273,12 +306,13 @@ def split(df: DataFrame, rules: list[Rule], row_id: str = "row_id", **kw) -> tup
 
 
 def report(df: DataFrame, rules: list[Rule], examples: int = 5, **kw) -> DataFrame:
-    """For each rule: violations, rate, and up to `examples` of them, by row."""
-    v = violations(df, rules, **kw)
+    """For each rule: violations, rate, and up to `examples` of them, by row. The violations are written once and read twice."""
+    v = kept(violations(df, rules, **kw), "violations")
     top = v.withColumn("_k", F.row_number().over(Window.partitionBy("rule").orderBy("row_id", "value"))).where(F.col("_k") <= examples)
     shown = top.groupBy("rule").agg(F.sort_array(F.collect_list(F.struct("row_id", "value", "detail"))).alias("examples"))
     total = df.agg(F.count(F.lit(1)).alias("_rows"))
-    t = counts(df, rules, **kw).join(shown, "rule", "left").crossJoin(F.broadcast(total))
+    n = _of_every(df, rules, v.groupBy("rule").agg(F.count(F.lit(1)).alias("n")))
+    t = n.join(shown, "rule", "left").crossJoin(F.broadcast(total))
     return t.select("rule", "severity", "violations", F.coalesce(F.try_divide("violations", "_rows"), F.lit(0.0)).alias("rate"), "examples")
 
 
@@ -289,17 +323,24 @@ def profile(df: DataFrame, rows: int = 200, numeric_share: float = 0.8) -> tuple
     return numeric, [c for c in df.columns if c not in numeric]
 
 
-# Mutations: damage that a good suite notices. Each takes a table of text cells with a row_id.
+# Mutations: damage that a good suite notices. Each takes a table of text cells with a row_id. One that leaves the rows as
+# they are and changes only some columns names these as its `columns`.
+
+
+def _changes(columns, apply):
+    apply.columns = frozenset(columns)
+    return apply
 
 
-def _some(column: str, share: float, seed: int, change, row_id: str = "row_id"):
+def _some(columns, share: float, seed: int, change, row_id: str = "row_id"):
+    """`change` on a share of the rows that have a value in the first column."""
+
     def apply(df: DataFrame) -> DataFrame:
-        has = df.where(~is_nullish(F.col(column)))
-        hit = chosen(has, [row_id], share, seed).where("_chosen").select(F.col(row_id).alias("_hit"))
-        out = df.join(hit, df[row_id] == F.col("_hit"), "left")
-        return change(out, F.col("_hit").isNotNull()).select(*df.columns)
+        has = ~is_nullish(F.col(columns[0]))
+        out = df.crossJoin(F.broadcast(cut_of(df.where(has), [row_id], share, seed, 1)))  # one row
+        return change(out, has & before_cut([row_id], seed)).select(*df.columns)
 
-    return apply
+    return _changes(columns, apply)
 
 
 def _set(column: str, value):
@@ -315,7 +356,7 @@ def _swapped(a: str, b: str):
 
 
 def blank_out(column, share=0.05, seed=1):
-    return _some(column, share, seed, _set(column, lambda c: F.lit("")))
+    return _some([column], share, seed, _set(column, lambda c: F.lit("")))
 
 
 def duplicate_rows(share=0.03, seed=2, row_id="row_id"):
@@ -328,43 +369,43 @@ def duplicate_rows(share=0.03, seed=2, row_id="row_id"):
 
 
 def drop_rows(share=0.2, seed=3, row_id="row_id"):
-    return lambda df: ranked(df, [row_id], seed).where(F.col("_rank") < F.floor(F.col("_all") * (1 - share))).drop("_rank", "_all")
+    return lambda df: df.crossJoin(F.broadcast(cut_of(df, [row_id], 1 - share, seed))).where(before_cut([row_id], seed)).select(*df.columns)
 
 
 def shift_decimal(column, factor=10, share=0.04, seed=4):
-    return _some(column, share, seed, _set(column, _scaled(factor)))
+    return _some([column], share, seed, _set(column, _scaled(factor)))
 
 
 def rescale(column, factor=1.609):
-    return lambda df: df.withColumn(column, _scaled(factor)(F.col(column)))
+    return _changes([column], lambda df: df.withColumn(column, _scaled(factor)(F.col(column))))
 
 
 def swap_columns(a, b):
-    return lambda df: df.withColumns({a: F.col(b), b: F.col(a)})
+    return _changes([a, b], lambda df: df.withColumns({a: F.col(b), b: F.col(a)}))
 
 
 def unknown_category(column, value="UNSPECIFIED", share=0.05, seed=5):
-    return _some(column, share, seed, _set(column, lambda c: F.lit(value)))
+    return _some([column], share, seed, _set(column, lambda c: F.lit(value)))
 
 
 def pad_whitespace(column, share=0.1, seed=6):
-    return _some(column, share, seed, _set(column, lambda c: F.concat(F.lit("  "), c, F.lit(" "))))
+    return _some([column], share, seed, _set(column, lambda c: F.concat(F.lit("  "), c, F.lit(" "))))
 
 
 def reverse_pair(a, b, share=0.03, seed=7):
-    return _some(a, share, seed, _swapped(a, b))
+    return _some([a, b], share, seed, _swapped(a, b))
 
 
 def inject_outlier(column, factor=1000, seed=8):
-    return _some(column, 0.0, seed, _set(column, _scaled(factor)))
+    return _some([column], 0.0, seed, _set(column, _scaled(factor)))
 
 
 def truncate_values(column, chars=1, share=0.04, seed=9):
-    return _some(column, share, seed, _set(column, lambda c: F.when(F.length(c) > chars, F.substr(c, F.lit(1), F.length(c) - chars)).otherwise(c)))
+    return _some([column], share, seed, _set(column, lambda c: F.when(F.length(c) > chars, F.substr(c, F.lit(1), F.length(c) - chars)).otherwise(c)))
 
 
 def corrupt_type(column, value="n/a-see-notes", share=0.03, seed=10):
-    return _some(column, share, seed, _set(column, lambda c: F.lit(value)))
+    return _some([column], share, seed, _set(column, lambda c: F.lit(value)))
 
 
 def default_mutations(df: DataFrame, row_id: str = "row_id") -> dict:
@@ -385,12 +426,24 @@ def default_mutations(df: DataFrame, row_id: str = "row_id") -> dict:
 
 
 def audit(df: DataFrame, rules: list[Rule], mutations: dict, **kw) -> DataFrame:
-    """(mutation, caught, noticed_by): an error rule notices a mutation if it has more violations than before."""
-    base = counts(df, rules, **kw).where(F.col("severity") == ERROR).select("rule", F.col("violations").alias("before"))
-    runs = [counts(m(df), rules, **kw).where(F.col("severity") == ERROR).select(F.lit(name).alias("mutation"), "rule", "violations") for name, m in mutations.items()]
-    after = reduce(DataFrame.unionByName, runs).join(F.broadcast(base), "rule")  # one row for each rule
-    noticed = F.sort_array(F.collect_list(F.when(F.col("violations") > F.col("before"), F.col("rule"))))
-    return after.groupBy("mutation").agg(noticed.alias("noticed_by")).select("mutation", (F.size("noticed_by") > 0).alias("caught"), "noticed_by")
+    """(mutation, caught, noticed_by): an error rule notices a mutation if it has more violations than before.
+
+    Where a mutation says which columns it changes, only rules on these are counted again: the others find what they found.
+    """
+    rules = [r for r in rules if r.severity == ERROR]
+    base = tally(df, rules, **kw).select("rule", F.col("n").alias("before"))
+    runs = []
+    for name, m in mutations.items():
+        touched = getattr(m, "columns", None)
+        if again := [r for r in rules if touched is None or touched & set(r.columns)]:
+            runs.append(tally(m(df), again, **kw).select(F.lit(name).alias("mutation"), "rule", "n"))
+    names = df.sparkSession.createDataFrame([(name,) for name in mutations], "mutation string")
+    if not runs:
+        return names.select("mutation", F.lit(False).alias("caught"), F.array().cast("array<string>").alias("noticed_by"))
+    after = reduce(DataFrame.unionByName, runs).join(F.broadcast(base), "rule", "left").where(F.col("n") > F.coalesce("before", F.lit(0)))  # one row for each rule
+    noticed = after.groupBy("mutation").agg(F.sort_array(F.collect_list("rule")).alias("noticed_by"))
+    by = F.coalesce("noticed_by", F.array().cast("array<string>"))
+    return names.join(noticed, "mutation", "left").select("mutation", (F.size(by) > 0).alias("caught"), by.alias("noticed_by"))
 
 
 def score(audited: DataFrame) -> DataFrame:

@@ -171,3 +171,37 @@ def test_features_are_read_once(spark, sf):
     from loomwork.plans import models
 
     assert "documents.parquet" not in str(models.labelled(spark, sf).inputFiles())
+
+
+def test_gate_counts_without_rows(spark):
+    """Counts and audits agree with violations in long form; only rules on changed columns are counted again."""
+    from functools import reduce
+
+    from loomwork.operators import quality
+
+    rows = [(i, str(i % 7 + 1) if i % 11 else " ", "abc"[i % 3], f"{i % 5 + 1}/2/2024" if i % 4 else "2024-01-03 10:00") for i in range(90)]
+    df = spark.createDataFrame(rows, "row_id long, a string, b string, c string")
+    rules = quality.suite([{"id": "n", "kind": "not_null", "column": "a"}, {"id": "t", "kind": "is_type", "column": "c", "type": "date"}, {"id": "u", "kind": "unique", "columns": ["a", "b"]}, {"id": "f", "kind": "foreign_key", "column": "b", "ref": "x", "ref_column": "k"}, {"id": "r", "kind": "row_count", "max": 95}, {"id": "m", "kind": "in_set", "column": "b", "allowed": ["a"]}])
+    refs = {"x": spark.createDataFrame([("a",), ("b ",)], "k string")}
+    long = lambda d: {r["rule"]: r["count"] for r in quality.violations(d, rules, refs=refs).groupBy("rule").count().collect()}
+    short = quality.tally(df, rules, refs=refs)
+    assert {r["rule"]: r["n"] for r in short.collect()} == long(df) and plan(short).count("Generate") <= 2
+    mutations = {"blank": quality.blank_out("a", 0.2), "dup": quality.duplicate_rows(0.1), "drop": quality.drop_rows(), "cat": quality.unknown_category("b"), "swap": quality.swap_columns("b", "c")}
+    assert mutations["blank"].columns == {"a"} and not hasattr(mutations["dup"], "columns")
+    before = long(df)
+    want = {name: sorted(k for k, n in long(m(df)).items() if n > before.get(k, 0)) for name, m in mutations.items()}
+    assert {r["mutation"]: r["noticed_by"] for r in quality.audit(df, rules, mutations, refs=refs).collect()} == want
+    shares = [mutations["blank"](df).where("a = ''").count(), mutations["dup"](df).count() - 90, mutations["drop"](df).count()]
+    assert shares == [int(len([r for r in rows if r[1].strip()]) * 0.2), 9, 72]
+    assert "Join" not in reduce(lambda s, x: s.replace(x, ""), ["Join Cross", "Join Inner"], plan(mutations["blank"](df)))
+
+
+def test_chosen_are_first_in_seeded_order(spark):
+    from loomwork.operators import sampling
+
+    df = spark.range(3000)
+    for share, least in ((0.37, 1), (0.0, 1), (1.0, 0), (0.0, 0)):
+        cut = max(least, int(3000 * share))
+        want = {r["id"] for r in sampling.ranked(df, ["id"], 5).where(F.col("_rank") < cut).collect()}
+        assert {r["id"] for r in sampling.chosen(df, ["id"], share, 5, least).where("_chosen").collect()} == want and len(want) == cut
+    assert sampling.chosen(df.where("id < 0"), ["id"], 0.5, 5).count() == 0
